@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +59,22 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary() if batch.schema.field(name).type == pa.string() else pa.large_binary()).to_pylist()]
+
+
+def id_buckets(df: DataFrame, n: int, id_col: str = "doc_id") -> tuple[Column, int]:
+    """The bucket (0 to count-1, ascending with the id) of each row's id, and the count of buckets.
+
+    Bounds are quantiles of the ids, so buckets hold about as many rows each; null ids are in bucket 0.
+    Only the bounds, at most n - 1 of them, come to the driver.
+    """
+    at = F.col(id_col)
+    found = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("b")).first()["b"]
+    bounds = sorted(set(found or [])) if n > 1 else []
+    if not bounds:
+        return F.lit(0), 1
+    steps, edges = [1 << k for k in reversed(range(len(bounds).bit_length()))], F.lit(bounds)
+    found = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]), F.lit(0),
+        lambda low, step: F.when((low + step <= len(bounds)) & (F.get(edges, low + step - 1) <= at), low + step).otherwise(low),
+    )
+    return F.when(at.isNull(), 0).otherwise(found), len(bounds) + 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytequarry.llm import spotsigs, urlcascade
+from bytequarry.llm import bpe, packing, planes, spotsigs, urlcascade
 from bytequarry.llm.common import table
 
 
@@ -16,6 +16,19 @@ def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlcascade.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return planes.read(planes.write(docs, planes.encode(docs)))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 

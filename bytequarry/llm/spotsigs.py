@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import partitions, written
+from bytequarry.llm.common import id_buckets, partitions, written
 
 #: Anchors: common function words of English, French, German and Spanish.
 ANCHORS = """
@@ -119,19 +119,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 8 * partitions(spark)
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    if bounds:
-        steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-        edge = F.lit(bounds)
-        bucket = F.aggregate(
-            F.array(*[F.lit(x) for x in steps]), F.lit(0),
-            lambda at, s: F.when((at + s <= len(bounds)) & (F.get(edge, at + s - 1) <= F.col("doc_id")), at + s).otherwise(at),
-        )
-    else:
-        bucket = F.lit(0)
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
+    bucket, _ = id_buckets(docs, 8 * partitions(spark))
+    docs = docs.withColumn("bucket", bucket)
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null_id"))
     firsts = firsts.select("bucket", F.when(F.col("null_id"), None).otherwise(F.col("doc_id")).alias("first_id"))
     heads = docs.alias("d").join(F.broadcast(firsts).alias("f"), (F.col("d.bucket") == F.col("f.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("f.first_id")))
