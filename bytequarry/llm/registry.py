@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytequarry.llm import bpe, packing, planes, spotsigs, urlcascade
+from bytequarry.llm import bpe, linededup, packing, planes, simhash, spotsigs, urlcascade
 from bytequarry.llm.common import table
 
 
@@ -21,6 +22,10 @@ def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(planes.write(docs, planes.encode(docs)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(spark, sf_dir)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,9 +34,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_cascade": urlcascade.ORACLE}
+    return {"op2_url_cascade": urlcascade.ORACLE, "op5_line_dedup": linededup.ORACLE}
