@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import bpe, linededup, packing, planes, simhash, spotsigs, urlcascade
+from bytequarry.llm import bpe, langid, linededup, media, packing, planes, simhash, spotsigs, toxicity, urlcascade
 from bytequarry.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlcascade.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return planes.read(planes.write(docs, planes.encode(docs)))
@@ -39,6 +43,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.through_images(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
