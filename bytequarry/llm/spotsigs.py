@@ -49,7 +49,9 @@ def signatures(text: Column | str, chain: int = CHAIN, distance: int = 1) -> Col
     """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    marked = F.regexp_replace(spaced, f"(?<= )(?:(?:{_alternation(ANCHORS)}) )+", MARK)
+    # no group is repeated in the expression: Java would recurse as often as it repeats
+    marked = F.replace(F.regexp_replace(spaced, f"(?<= )(?:{_alternation(ANCHORS)})(?= )", MARK), F.lit(MARK + " "), F.lit(MARK))
+    marked = F.regexp_replace(marked, f"{MARK}+", MARK)
     words = F.split(F.concat(F.lit(MARK), F.ltrim(F.rtrim(marked, F.lit(MARK + " ")))), " ")
     return F.transform(F.array(words), lambda w: _set_of(w, text, chain, distance))[0]
 
