@@ -11,8 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch that goes to a Python worker: whole texts, so far fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set, read by Spark's own reader (any file system)."""
+    """A table of the data set, read by Spark's own reader (any file system).
+
+    A session that leaves Arrow's batch size at its default gets BATCH_ROWS, which bounds what a Python
+    worker holds of a table of whole texts; a size that the session sets itself stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ UNUSUAL = re.compile("[^\\x00-\\x7f¡-¬®-įı-ſ–—‘-„…€]|<\\|")
 BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 #: Pieces that a worker's cache holds before it starts anew.
-CACHED = 300_000
+CACHED = 150_000
 
 
 class Encoder(dict):

@@ -32,7 +32,7 @@ FIT_ROWS = 12_000
 #: Weights that a model may have (12 bytes each).
 MAX_WEIGHTS = 200_000
 WORD = re.compile(r"[^\W_]+")
-CACHED = 300_000
+CACHED = 100_000
 CHUNK = 1 << 20
 
 
@@ -112,9 +112,17 @@ def learn(rows: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float =
     """FTRL-proximal over (unique feature hashes, label) in the given order, so many times over; weight: of a toxic row's gradient."""
     if not rows:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, False)
+    least_docs = min(least_docs, max(1, len(rows) // 8))
+    # most features are rare: counts by their high bits turn them away before the sort, in little memory
+    shared = np.zeros(1 << 24, np.uint16)
+    for f, _ in rows:
+        at = f >> np.uint32(8)
+        shared[at] = np.minimum(shared[at], 65534) + 1
+    rows = [(f[shared[f >> np.uint32(8)] >= least_docs], y) for f, y in rows]
+    del shared
     flat = np.concatenate([f for f, _ in rows])
     keys, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    frequent = counts >= min(least_docs, max(1, len(rows) // 8))
+    frequent = counts >= least_docs
     renumber = np.cumsum(frequent) - 1
     ends = np.cumsum([len(f) for f, _ in rows])
     index = [renumber[i[frequent[i]]] for i in np.split(inverse, ends[:-1])]
@@ -154,13 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **learning
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[bytes] = []
-            for _, chunk in _chunks(texts(batch)):
+            for start, chunk in _chunks(texts(batch)):
                 f, owner = features(chunk)
                 both = np.unique(owner.astype(np.uint64) << np.uint64(32) | f)
                 cuts = np.searchsorted(both >> np.uint64(32), np.arange(1, len(chunk)))
-                found += [x.astype(np.uint32).tobytes() for x in np.split(both & np.uint64(0xFFFFFFFF), cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "f"])
+                found = [x.astype(np.uint32).tobytes() for x in np.split(both & np.uint64(0xFFFFFFFF), cuts)]
+                own = batch.slice(start, len(chunk))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(d, np.frombuffer(f, np.uint32), y) for b in batches for d, y, f in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "f")), strict=True)]
