@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import map_batches, texts
-from bytequarry.llm.tokens import BYTE_PIECES, CACHED, UNUSUAL, vocabulary
+from bytequarry.llm.tokens import BYTE_PIECES, CACHED, UNUSUAL, byte_letters, vocabulary
 
 NEVER = 1 << 62
 SHIFT = 32
@@ -76,13 +76,6 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Bpe(dict):
     """encode(text) and decode(ids) of a byte-level vocabulary file; ids are little-endian unsigned 32-bit. As a dict: the cache of pieces."""
 

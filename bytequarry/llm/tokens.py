@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,14 @@ UNUSUAL = re.compile("[^\\x00-\\x7f¡-¬®-įı-ſ–—‘-„…€]|<\\|")
 BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 #: Pieces that a worker's cache holds before it starts anew.
-CACHED = 150_000
+CACHED = 250_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder(dict):
@@ -36,9 +44,12 @@ class Encoder(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.cut = (WORD_PIECES if words else BYTE_PIECES).findall
+        self.merged, self.letters = self.library.model.tokenize, {b: c for c, b in byte_letters().items()}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = self.whole(piece)
+        # a piece needs the library's merges alone: its bytes' letters go to the model itself
+        found = self.merged(piece.encode().decode("latin-1").translate(self.letters))
+        out = self[piece] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return out
 
     def whole(self, text: str) -> bytes:
