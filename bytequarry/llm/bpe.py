@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import map_batches, texts
-from bytequarry.llm.tokens import BYTE_PIECES, CACHED, UNUSUAL, byte_letters, vocabulary
+from bytequarry.llm.tokens import BYTE_PIECES, UNUSUAL, byte_letters, vocabulary
 
 NEVER = 1 << 62
 SHIFT = 32
+#: Pieces that a worker's cache holds before it starts anew (some 200 bytes each).
+CACHED = 800_000
 
 
 def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
