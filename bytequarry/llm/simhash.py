@@ -261,10 +261,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, large
     return fps.join(final, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """The document of the smallest doc_id of each component, with all its columns; rows of one doc_id in a component stay once."""
-    found = written(near_duplicates(docs, words, radius).select("doc_id", "component_id"), "simhash-components")
+def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The document of the smallest doc_id of each component, with all its columns; rows of one doc_id in a component stay once.
+
+    components: doc_id and component_id of every row of docs. Rows without a doc_id stay.
+    """
+    found = written(components.select("doc_id", "component_id"), "simhash-components")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return left if again.isEmpty() else left.dropDuplicates(["doc_id"])
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
+    """One document of each component of near_duplicates; see one_of_each."""
+    return one_of_each(docs, near_duplicates(docs, words, radius))

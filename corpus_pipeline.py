@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytequarry.llm import langid, linededup, packing, simhash, toxicity
+from bytequarry.llm import langid, linededup, packing, simhash_wide, toxicity
 from bytequarry.llm.common import table, written
 
 
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    """The document of the smallest doc_id of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    return simhash_wide.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -6,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bytequarry.llm import bpe, langid, linededup, media, packing, planes, registry, simhash, spotsigs, toxicity, urlcascade
+from bytequarry.llm import bpe, langid, linededup, media, packing, planes, registry, simhash, simhash_wide, spotsigs, toxicity, urlcascade
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, bucket string, hi string, fp string, length string, page_id string"
+LOWER = {c: c + 32 for c in range(65, 91)}
 LONG = "word " * 30_000 + "\n" + "y" * 100_000
 
 
@@ -186,6 +188,48 @@ def test_simhash(spark, odd, none, largest):
         assert simhash.near_duplicates(none).count() == 0
 
 
+def word_sets(texts):
+    """The five-word shingles of each text, as tuples."""
+    words = {d: tuple(re.split("[\\x20\\x09-\\x0D]+", t.strip(" \t\n\x0b\x0c\r").translate(LOWER))) for d, t in texts.items()}
+    return {d: {w[i : i + 5] for i in range(max(1, len(w) - 4))} if w != ("",) else frozenset() for d, w in words.items()}
+
+
+def check_near_classes(texts, kept):
+    """One of each group of texts stays: pairs of 0.8 or more are in one group, and groups hang together by pairs well above 0.6."""
+    sets, ids = word_sets(texts), sorted(texts)
+    strict, loose = simhash.Forest(len(ids)), simhash.Forest(len(ids))
+    for i, a in enumerate(ids):
+        for j in range(i):
+            both, either = len(sets[a] & sets[ids[j]]), len(sets[a] | sets[ids[j]])
+            alike = both / either if either else 1.0
+            if alike >= 0.8:
+                strict.join(i, j)
+            if alike >= 0.65:
+                loose.join(i, j)
+    assert {d for i, d in enumerate(ids) if loose.root(i) == i} <= kept <= {d for i, d in enumerate(ids) if strict.root(i) == i}
+
+
+@pytest.mark.parametrize("largest", [simhash_wide.LARGEST, 5])
+def test_simhash_wide(spark, odd, none, largest):
+    rng = np.random.default_rng(6)
+    texts = ["", None, " \n", "one", "ONE ", "one two", "one two three four five", "one two three four six", "É b c d e f", "é b c d e f"]
+    for _ in range(12):
+        words = [str(x) for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        for _ in range(10):
+            copy = list(words)
+            for k in rng.choice(len(copy), int(rng.integers(0, len(copy) // 60 + 1)), replace=False):
+                copy[k] = f"x{rng.integers(0, 9)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(zip(map(int, rng.permutation(len(texts))), texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_wide.keep_one(docs, largest=largest).collect()}
+    check_near_classes({r.doc_id: r.text or "" for r in docs.collect()}, kept)
+    if largest > 5:
+        found = simhash_wide.keep_one(odd)
+        assert found.columns == odd.columns
+        assert pairs(found.where("doc_id is not null"), "doc_id") == [[1], [2], [7], [9]]
+        assert simhash_wide.keep_one(none).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -233,14 +277,7 @@ def test_pipeline(spark):
     kept = lines.collect()
     assert sorted(r.text for r in kept) == want and all(r.n_chars == len(r.text) for r in kept)
     one = stages["SimHash near-dedup"](spark, lines, DATA).collect()
-    fps = {r.doc_id: simhash.fingerprint(r.text.encode()) for r in kept}
-    ids = sorted(fps)
-    forest = simhash.Forest(len(ids))
-    for i in range(len(ids)):
-        for j in range(i):
-            if (fps[ids[i]] ^ fps[ids[j]]).bit_count() <= 4:
-                forest.join(i, j)
-    assert sorted(r.doc_id for r in one) == [d for i, d in enumerate(ids) if forest.root(i) == i]
+    check_near_classes({r.doc_id: r.text for r in kept}, {r.doc_id for r in one})
     packed = corpus_pipeline.run(spark, DATA).toPandas()
     assert sorted(packed.doc_id.unique()) == sorted(r.doc_id for r in one)
 

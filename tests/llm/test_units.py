@@ -8,7 +8,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bytequarry.llm import bpe, langid, linededup, media, packing, planes, simhash, tokens, toxicity, urlcascade, webp
+from bytequarry.llm import bpe, langid, linededup, media, packing, planes, simhash, simhash_wide, tokens, toxicity, urlcascade, webp
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -141,6 +141,32 @@ def test_bit_sliced_links_by_brute_force():
             assert [forest.root(i) == forest.root(j) for i in at for j in at] == [a == b for a in want for b in want]
 
 
+def test_wide_links_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for trial in range(6):
+        base = rng.integers(0, 256, (8, simhash_wide.BITS // 8)).astype(np.uint8)
+        bits = np.unpackbits(base, axis=1)[rng.integers(0, 8, 260)]
+        bits ^= (rng.random(bits.shape) < rng.uniform(0, 0.16, (260, 1))).astype(np.uint8)
+        group = np.sort(rng.integers(0, [1, 3, 90][trial % 3], 260))
+        fps = np.packbits(bits, axis=1).view(np.uint64)
+        want, got = simhash.Forest(260), simhash.Forest(260)
+        near = {(i, j) for i in range(260) for j in range(i) if group[i] == group[j] and (bits[i] != bits[j]).sum() <= 180}
+        for i, j in near:
+            want.join(i, j)
+        found = simhash_wide.links(fps, group, 180)
+        assert all((max(p), min(p)) in near and got.join(*p) for p in found)
+        assert [got.root(i) for i in range(260)] == [want.root(i) for i in range(260)]
+
+
+def test_wide_fingerprint():
+    found = np.random.default_rng(4).integers(0, 1 << 63, 5000).astype(np.uint64)
+    drawn = simhash_wide.mixed(found[:, None] * simhash_wide._PLANES)
+    want = [2 * int((drawn[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).sum()) > 5000 for b in range(simhash_wide.BITS)]
+    assert np.unpackbits(np.frombuffer(simhash_wide.fingerprint(found), np.uint8), bitorder="little").astype(bool).tolist() == want
+    parts = b"a b c d e f g a b c d e".split()
+    assert len(simhash_wide.shingles(parts)) == 7 and len(simhash_wide.shingles(parts[:2])) == 1
+
+
 def test_simhash_vectors():
     import xxhash
 
