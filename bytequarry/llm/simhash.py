@@ -12,7 +12,8 @@ Components come from repeated contraction of the links, as tables.
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; fewer words than a shingle make one shingle; shingles count as often as they occur;
 component_id is the smallest doc_id reachable (null only if no member has one); repeated rows
-repeat; an empty table gives no rows; columns besides doc_id and text are not read.
+repeat; an empty table gives no rows; columns besides doc_id and text are not read. Of a doc_id with
+several texts each text is a document of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import map_batches, partitions, raw_texts, written
@@ -54,13 +55,29 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer)."""
+    """doc_id, text_key and fp (the fingerprint as a signed 64-bit integer)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, words) for t in raw_texts(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    return map_batches(keyed(docs), run, "doc_id long, text_key long, fp long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key, which tells apart the texts of one doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def least_row() -> Column:
+    """The aggregate that finds the row (doc_id, text_key) of the smallest doc_id; rows without a doc_id do not count."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+
+
+def is_kept(first: str) -> Column:
+    """Whether a row is its component's `first`, or has no doc_id."""
+    return F.col("doc_id").isNull() | ((F.col("doc_id") == F.col(f"{first}.doc_id")) & (F.col("text_key") == F.col(f"{first}.text_key")))
 
 
 def blocks(bits: list[int], count: int) -> list[list[int]]:
@@ -250,27 +267,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+    """doc_id, text_key, fp, component_id and kept (the component's one document) of every row."""
     fps = written(fingerprints(docs, words), "simhash")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = written(fps.groupBy("fp").agg(least_row().alias("first")), "simhash-classes")
     roots = components(near_links(classes.select("fp"), radius, largest))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # only classes with links share a root
-    groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = named.join(groups, "root").select("fp", "component_id")
-    return fps.join(final, "fp", "left").select("doc_id", "fp", "component_id")
+    groups = named.groupBy("root").agg(F.min("first").alias("least"))
+    final = named.join(groups, "root").select("fp", "least")
+    return fps.join(final, "fp", "left").select("doc_id", "text_key", "fp", F.col("least.doc_id").alias("component_id"), is_kept("least").alias("kept"))
 
 
 def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """The document of the smallest doc_id of each component, with all its columns; rows of one doc_id in a component stay once.
+    """The document of the smallest doc_id of each component, with all its columns; a row that repeats stays once.
 
-    components: doc_id and component_id of every row of docs. Rows without a doc_id stay.
+    components: doc_id, text_key and kept of every row of docs. Rows without a doc_id all stay.
     """
-    found = written(components.select("doc_id", "component_id"), "simhash-components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return left if again.isEmpty() else left.dropDuplicates(["doc_id"])
+    found = written(components.select("doc_id", "text_key", "kept"), "simhash-components")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    rows = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
+    left = rows.join(gone, (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.col("__text_key") == F.col("__gone_key")), "left_anti")
+    again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    if not again.isEmpty():
+        left = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__text_key"]).unionByName(left.where(F.col("doc_id").isNull()))
+    return left.select(docs.columns)
 
 
 def keep_one(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import map_batches, partitions, raw_texts, written
-from bytequarry.llm.simhash import Forest, components, one_of_each
+from bytequarry.llm.simhash import Forest, components, is_kept, keyed, least_row, one_of_each
 
 SEED = 42
 WORDS = 5
@@ -103,7 +103,7 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, cls (128 bits of the words), fp and keys (none where a text has no words) of every row."""
+    """doc_id, text_key, cls (128 bits of the words), fp and keys (none where a text has no words) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cls, fps, keys = [], [], []
@@ -113,9 +113,10 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = shingles(parts, words) if parts else None
             fps.append(bytes(BITS // 8) if found is None else fingerprint(found))
             keys.append([] if found is None else bands(found))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cls, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "cls", "fp", "keys"])
+        arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(cls, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "cls", "fp", "keys"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, cls binary, fp binary, keys array<long>")
+    return map_batches(keyed(docs), run, "doc_id long, text_key long, cls binary, fp binary, keys array<long>")
 
 
 class Counters:
@@ -289,14 +290,14 @@ def near_links(classes: DataFrame, radius: int = RADIUS, largest: int = LARGEST)
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
-    """doc_id and component_id of every row."""
+    """doc_id, text_key, component_id and kept (the component's one document) of every row."""
     rows = written(sketches(docs, words), "wide-sketches")
-    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "wide-classes")
+    classes = written(rows.groupBy("cls").agg(least_row().alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "wide-classes")
     roots = components(near_links(classes, radius, largest))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    final = named.join(groups, "root").select("cls", "component_id")
-    return rows.join(final, "cls", "left").select("doc_id", "component_id")
+    groups = named.groupBy("root").agg(F.min("first").alias("least"))
+    final = named.join(groups, "root").select("cls", "least")
+    return rows.join(final, "cls", "left").select("doc_id", "text_key", F.col("least.doc_id").alias("component_id"), is_kept("least").alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:

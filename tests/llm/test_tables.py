@@ -230,6 +230,20 @@ def test_simhash_wide(spark, odd, none, largest):
         assert simhash_wide.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, simhash_wide.keep_one])
+def test_repeated_and_missing_ids(spark, keep_one):
+    one, two = (" ".join(f"{w}{i}" for i in range(200)) for w in "ab")
+    docs = spark.createDataFrame([(1, one), (2, two), (2, one), (2, two), (None, one), (None, two), (None, two), (3, two + " "), (4, None), (4, None)], "doc_id int, text string")
+    want = [(1, one), (2, two), (4, None), (None, one), (None, two), (None, two)]
+    assert sorted(map(tuple, keep_one(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_url_rules_of_one_length(spark):
+    pages = spark.createDataFrame([(1, "http://x.ab/cd"), (2, None)], "page_id long, url string")
+    for rules in ([("ab", "/cd", "allow"), ("x.ab", "/", "block")], [("ab", "/cd", "block"), ("x.ab", "/", "allow")]):
+        assert [r.verdict for r in urlcascade.judge(pages, rules).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
