@@ -243,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", words: bool = Fa
     # at most `capacity` lengths, a few places each
     shared = spark.sparkContext.broadcast({s: tuple(np.array(c, np.int64) for c in zip(*p, strict=True)) for s, p in places.items()})
     before = shares.select("length", "share", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece")) - 1)
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1)
     ranked = ranked.join(before, ["length", "share"]).select(*[c for c in cut.columns if c != "share"], (F.col("rank") + F.col("before")).alias("rank"))
 
     def run(batches):

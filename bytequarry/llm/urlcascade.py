@@ -166,11 +166,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
             owner = np.repeat(np.arange(batch.num_rows), counts)
             flat, hv, gv = keys.flatten(), _unsigned(h.flatten()), _unsigned(g.flatten())
             blocked, allowed = shared.value[0].listed(hv, gv), shared.value[1].listed(hv, gv)
-            rule, verdict, best = [None] * batch.num_rows, [default] * batch.num_rows, [-1] * batch.num_rows
+            rule, verdict, best = [None] * batch.num_rows, [default] * batch.num_rows, [(-1, False)] * batch.num_rows
             for j in np.flatnonzero(blocked | allowed):
                 key, i = flat[int(j)].as_py(), owner[j]
-                if len(key) > best[i]:
-                    rule[i], verdict[i], best[i] = key, "block" if blocked[j] else "allow", len(key)
+                rank = (len(key), bool(blocked[j]))
+                if rank > best[i]:
+                    rule[i], verdict[i], best[i] = key, "block" if blocked[j] else "allow", rank
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     hashed = rows.select("page_id", "host", "path", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("h"), F.transform("keys", lambda k: F.xxhash64(F.lit("second"), k)).alias("g"))
