@@ -77,17 +77,24 @@ def decoded(data: Column | str, page: int = 932) -> Column:
     return run(data)
 
 
-def encoded(text: Column | str, page: int = 932) -> Column:
-    """encode() as a column of struct<value binary, error string>; null gives null in both."""
+def encoder():
+    """encode() as a function of (text, page) that gives struct<value binary, error string>."""
 
     @F.pandas_udf("value binary, error string")
-    def run(values: pd.Series) -> pd.DataFrame:
+    def run(values: pd.Series, pages: pd.Series) -> pd.DataFrame:
         rows = []
-        for x in values:
+        for x, page in zip(values, pages, strict=True):
             try:
-                rows.append((None if x is None else encode(x, page), None))
+                rows.append((None if x is None or pd.isna(page) else encode(x, int(page)), None))
             except UnicodeEncodeError as e:
-                rows.append((None, f"not in code page {page}: U+{ord(e.object[e.start]):04X}"))
+                rows.append((None, f"not in code page {int(page)}: U+{ord(e.object[e.start]):04X}"))
+            except LookupError:
+                rows.append((None, f"code page {int(page)} is unknown"))
         return pd.DataFrame(rows, columns=["value", "error"])
 
-    return run(text)
+    return run
+
+
+def encoded(text: Column | str, page: Column | int = 932) -> Column:
+    """encode() as a column of struct<value binary, error string>; a null text or page gives null in both."""
+    return encoder()(text, F.lit(page) if isinstance(page, int) else page)

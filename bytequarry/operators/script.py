@@ -151,13 +151,16 @@ def patched_words(code_words: DataFrame, moved: DataFrame) -> DataFrame:
     return rows.join(to, ["script", "__at"], "left").withColumn("value", F.coalesce(F.col("code_len") + F.col("new_offset"), "value")).drop("__at", "new_offset")
 
 
-def replacements(project_entries: DataFrame, page: int = 932) -> DataFrame:
-    """script, text_offset, new, error: the bytes of each project entry; the last of equal offsets, `dst` unless it is empty."""
+def replacements(project_entries: DataFrame, page: int = 0) -> DataFrame:
+    """script, text_offset, new, error: the bytes of each project entry; the last of equal offsets, `dst` unless it is empty.
+
+    page 0: the page that the project names. A project that could not be read keeps its error.
+    """
     last = Window.partitionBy("script", "text_offset").orderBy(F.col("entry_no").desc())
     rows = project_entries.withColumn("__k", F.row_number().over(last)).where("__k = 1")
     text = F.when(F.col("translation_text") != "", F.col("translation_text")).otherwise(F.col("original_text"))
-    rows = rows.select("script", "text_offset", codepage.encoded(text, page).alias("e"))
-    return rows.select("script", "text_offset", F.col("e.value").alias("new"), F.col("e.error").alias("error"))
+    rows = rows.select("script", "text_offset", "error", codepage.encoded(text, page or F.col("encode_cp")).alias("e"))
+    return rows.select("script", "text_offset", F.col("e.value").alias("new"), F.coalesce("error", "e.error").alias("error"))
 
 
 def rebuild(content: bytes, new: dict[int, bytes]) -> bytes:
@@ -177,7 +180,7 @@ def rebuild(content: bytes, new: dict[int, bytes]) -> bytes:
     return dsc.encode(out) if container == "dsc" else out
 
 
-def apply_project(scripts: DataFrame, project_entries: DataFrame, page: int = 932) -> DataFrame:
+def apply_project(scripts: DataFrame, project_entries: DataFrame, page: int = 0) -> DataFrame:
     """script, patched, error: scripts with their projects' texts; a text that cannot be encoded is the script's error."""
     new = replacements(project_entries, page).groupBy("script").agg(F.collect_list(F.struct("text_offset", "new")).alias("new"), F.min("error").alias("error"))
 

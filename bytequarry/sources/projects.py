@@ -34,10 +34,10 @@ def render(headers: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.select("script", F.encode(F.concat(F.lit("\ufeff"), head, F.coalesce("blocks", F.lit(""))), "UTF-8").alias("content"))
 
 
-def script_text(script: str, container: str, found: list[dict], page: int = 932) -> bytes:
-    """The project file of one script's entries."""
+def script_text(script: str, container: str, found: list[dict], page: int = 932, encode_page: int | None = None) -> bytes:
+    """The project file of one script's entries; without an encode_page, texts go back by the page they came by."""
     mark = lambda x: x.replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
-    out = [PROJECT_MAGIC, f"# script_name={script}", f"# container={container}", f"# decode_cp={page}", f"# encode_cp={page}", ""]
+    out = [PROJECT_MAGIC, f"# script_name={script}", f"# container={container}", f"# decode_cp={page}", f"# encode_cp={encode_page or page}", ""]
     for e in found:
         out += ["[ENTRY]", f"id={e['index']:04d}", f"kind={e['kind']}", f"text_offset={e['text_offset']:08X}", "code_offsets=" + ",".join(f"{x:08X}" for x in e["code_offsets"])]
         out += [f"comment={mark(e['comment'])}", f"src={mark(e['original_text'])}", "dst=", ""]

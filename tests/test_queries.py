@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytequarry import catalog
-from bytequarry.functions import binary
+from bytequarry.functions import binary, image, png, registered
 from bytequarry.operators import archive, classify, script
-from bytequarry.plans import fixtures, unpack
+from bytequarry.plans import fixtures, tools, unpack
 from bytequarry.sources import files
 from bytequarry.streaming import ingest
 
@@ -105,3 +105,49 @@ def test_stream(spark, tmp_path):
     run = ingest.classified_stream(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
     run.awaitTermination(60)
     assert [r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["ogg-audio"]
+
+
+def test_texts_out_and_in(spark):
+    made = {v: fixtures.write_script(v, [b"one", b"two", b"three"], ["name", "text", "other"]) for v in ("0.00", "1.00")}
+    files = spark.createDataFrame([*((f"s{v}", bytearray(c)) for v, c in made.items()), ("bad", bytearray(b"DSC FORMAT 1.00\0 too short")), ("none", None)], "path string, content binary")
+    out = {r.path: r for r in tools.extract_texts(files).collect()}
+    assert out["s1.00"].output_path == "s1.00.hazuki.txt" and out["s1.00"].status == "converted" and out["bad"].status == "error" and out["bad"].output is None
+    assert "# encode_cp=936" in tools.extract_texts(files.where("path = 's1.00'"), encode_page=936).first().output.decode()
+    text = out["s1.00"].output.decode().replace("dst=", "dst=あ!", 1)
+    cases = [("s1.00.Hazuki.TXT", text), ("s0.00.hazuki.txt", "no project"), ("gone.hazuki.txt", text), ("s1.00.txt", text)]
+    todo = spark.createDataFrame([(p, bytearray(c.encode())) for p, c in cases], "path string, content binary")
+    done = {r.path: r for r in tools.apply_texts(files, todo).collect()}
+    assert [done[p].status for p, _ in cases] == ["converted", "error", "error", "error"] and done["s1.00.Hazuki.TXT"].output_path == "s1.00.patched"
+    assert [done[p].error for p, _ in cases[1:]] == ["not a text project", "the script is missing", "not a project's name"]
+    assert "あ!".encode("cp932") in done["s1.00.Hazuki.TXT"].output
+    other = todo.limit(1).withColumn("content", F.encode(F.replace(F.decode("content", "UTF-8"), F.lit("encode_cp=932"), F.lit("encode_cp=1252")), "UTF-8"))
+    assert tools.apply_texts(files, other).first().error == "not in code page 1252: U+3042"
+    assert tools.apply_texts(files, other, page=932).first().status == "converted"
+    with pytest.raises(Exception, match="not a text project"):
+        tools.apply_texts(files, todo.where("path like 's0%'"), fail_fast=True).collect()
+
+
+def test_images_both_ways(spark):
+    picture = image.Image(3, 2, False, bytes([1, 2, 3, 255]) * 6)
+    rows = [("a/x.PNG", png.save(picture)), ("y.bin", image.encode(picture)), ("z.png", b"no"), ("w.txt", b"text")]
+    df = spark.createDataFrame([*((p, bytearray(c)) for p, c in rows), ("v", None)], "path string, content binary")
+    done = tools.convert_images(df)
+    got = {r.path: r for r in done.collect()}
+    assert [(got[p].status, got[p].output_path) for p in ("a/x.PNG", "y.bin", "z.png", "w.txt", "v")] == [("converted", "a/x.cbg"), ("converted", "y.bin.png"), ("error", None), ("skipped", None), ("skipped", None)]
+    assert image.decode(got["a/x.PNG"].output) == picture and png.load(got["y.bin"].output) == picture
+    assert tools.counted(done).first().asDict() == {"converted": 2, "skipped": 2, "failed": 1}
+    assert tools.counted(tools.convert_images(df.limit(0))).first().asDict() == {"converted": 0, "skipped": 0, "failed": 0}
+
+
+def test_registered_functions(spark):
+    registered.register(spark)
+    row = spark.sql("SELECT dsc_decode(dsc_encode(X'414243').value) AS d, dsc_decode(X'00') AS bad, dsc_decode(CAST(NULL AS BINARY)) AS n, codepage_decode(X'82A0', 932) AS t, codepage_encode('é', 932) AS e").first()
+    assert bytes(row.d.value) == b"ABC" and row.bad.value is None and row.bad.error and row.n.value is None and row.n.error is None and row.t == "あ" and "U+00E9" in row.e.error
+    row = spark.sql("SELECT image_decode(image_encode(1, 1, X'010203FF').value) AS i, image_decode(X'00') AS bad, image_encode(1, 1, X'00').error AS e").first()
+    assert (row.i.width, row.i.height, row.i.has_alpha, bytes(row.i.pixels)) == (1, 1, False, b"\1\2\3\xff") and row.bad.width is None and row.bad.error and row.e
+    archive_file = fixtures.write_archive([("a.txt", b"hi"), ("b.txt", b"")])
+    script_file = fixtures.write_script("1.00", [b"one", b"two"], ["name", "text"])
+    spark.createDataFrame([(bytearray(archive_file), bytearray(script_file)), (None, None)], "a binary, s binary").createOrReplaceTempView("files_of_test")
+    assert [(r.name, r["size"]) for r in spark.sql("SELECT e.name, e.size FROM files_of_test, LATERAL archive_entries(a) e ORDER BY 1").collect()] == [("a.txt", 2), ("b.txt", 0)]
+    assert [bytes(r.bytes) for r in spark.sql("SELECT x.bytes FROM files_of_test, LATERAL script_slots(s) x ORDER BY slot_no").collect()] == [b"one", b"two"]
+    assert spark.sql("SELECT count(*) AS n FROM (SELECT encode(concat('# BGI_HAZUKI_DSC_TEXT_V1', chr(10), '[ENTRY]', chr(10), 'src=x'), 'UTF-8') AS p), LATERAL project_entries(p)").first().n == 1
