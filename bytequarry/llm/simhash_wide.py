@@ -4,15 +4,18 @@
 similarity of 0.8 or more. 64 bits can't tell 0.8 from unrelated, so a fingerprint has 1,024: a bit is
 1 where over half of the distinct shingles' hashes have it. Two sets of Jaccard similarity j have
 fingerprints that differ in a share acos(2j / (1 + j)) / pi of the bits, give or take a standard
-deviation: 155 +- 11 at 0.8, 197 +- 13 at 0.7, 274 +- 14 at 0.5. RADIUS accepts 0.8 almost always.
+deviation: 155 +- 11 at 0.8, 197 +- 13 at 0.7, 274 +- 14 at 0.5. What RADIUS accepts is a candidate only:
+a link needs a similarity of 0.8 of the shingle sets themselves, counted in whole numbers.
 
 Texts of equal words (lower-cased A-Z, blanks aside) are one class. Classes meet in a group where they
 agree in a band: ROWS least hashes of their shingles, BANDS times (at 0.8, one pair in 6,000 meets in
 none). In a group the fingerprints stand as vertical bit planes, 64 a word; carry-save counters add
 up the differences of 64 at once, and words in which all have passed the radius are abandoned. Pairs
 that earlier links connect already are not compared again, and a group gives a spanning forest, never all
-pairs. A group above `largest` classes is cut in chunks whose pairs are groups of their own, so none of
-its links are lost and none of its tasks is larger. Components come from contraction, as tables.
+pairs. The candidates of a query are counted out together; one that fails is no link, and the others are
+still tried. Only classes that share a band carry their shingle hashes, made anew from one text of each. A
+group above `largest` classes or `most` shingles is cut in chunks whose pairs are groups of their own, so
+none of its links are lost and none of its tasks is larger. Components come from contraction, as tables.
 
 Defined results: null text counts as empty; texts without words are one class and link to nothing else;
 fewer words than a shingle make one shingle; component_id is the smallest doc_id reachable (null only
@@ -42,6 +45,10 @@ BANDS = 12
 ROWS = 3
 #: Classes of a group from which it is cut in chunks.
 LARGEST = 20_000
+#: Shingles of a group from which it is cut in chunks.
+MOST = 1 << 21
+#: Shingles of candidates that are counted out at once.
+COUNTED = 1 << 20
 #: Word pairs (a query against 64 fingerprints) that are compared at once.
 LANES = 1 << 13
 
@@ -67,6 +74,14 @@ def _salts(n: int, name: str) -> np.ndarray:
 _PLANES, _LEAST = _salts(BITS // 64, "plane"), _salts(BANDS * ROWS, "least")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
+
+
+def class_of(parts: list[bytes]) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(parts), SEED)
+
+
 def shingles(parts: list[bytes], words: int = WORDS) -> np.ndarray:
     """The distinct hashes of the word shingles; one for all words where they are fewer than a shingle's."""
     each = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
@@ -103,20 +118,34 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, text_key, cls (128 bits of the words), fp and keys (none where a text has no words) of every row."""
+    """doc_id, text_key, cls (128 bits of the words), fp, keys (none where a text has no words) and size (its shingles) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cls, fps, keys = [], [], []
+        cls, fps, keys, sizes = [], [], [], []
         for text in raw_texts(batch):
-            parts = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
-            cls.append(xxhash.xxh128_digest(b" ".join(parts), SEED))
+            parts = words_of(text)
+            cls.append(class_of(parts))
             found = shingles(parts, words) if parts else None
+            sizes.append(0 if found is None else len(found))
             fps.append(bytes(BITS // 8) if found is None else fingerprint(found))
             keys.append([] if found is None else bands(found))
-        arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(cls, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "cls", "fp", "keys"])
+        arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(cls, pa.binary()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "cls", "fp", "keys", "size"])
+
+    return map_batches(keyed(docs), run, "doc_id long, text_key long, cls binary, fp binary, keys array<long>, size int")
+
 
-    return map_batches(keyed(docs), run, "doc_id long, text_key long, cls binary, fp binary, keys array<long>")
+def shingle_sets(docs: DataFrame, sources: DataFrame, words: int = WORDS) -> DataFrame:
+    """cls and found (the ascending shingle hashes) of the texts that the sources (doc_id, text_key) name, a class once."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [words_of(text) for text in raw_texts(batch)]
+        found = [shingles(p, words).tobytes() if p else b"" for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(map(class_of, parts), pa.binary()), pa.array(found, pa.binary())], ["cls", "found"])
+
+    wanted = sources.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
+    texts = keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__text_key")), "left_semi")
+    return map_batches(texts.select("text"), run, "cls binary, found binary").groupBy("cls").agg(F.first("found").alias("found"))
 
 
 class Counters:
@@ -182,8 +211,35 @@ def near(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarra
     return hit
 
 
-def links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs that span, in each group (consecutive equal numbers), the links within the radius."""
+class Sets:
+    """Shingle sets, one after the other, which are counted against each other exactly."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray) -> None:
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.hashes, self.codes = hashes, None
+
+    def like(self, query: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have a similarity of 0.8 or more with the query."""
+        if self.codes is None:
+            names, self.codes = np.unique(self.hashes, return_inverse=True)
+            self.hashes, self.mine = None, np.zeros(len(names), bool)
+        own = self.codes[self.starts[query] : self.starts[query] + self.sizes[query]]
+        self.mine[own] = True
+        both, ends, i = np.zeros(len(others), np.int64), np.cumsum(self.sizes[others]), 0
+        while i < len(others):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + COUNTED, "right")))
+            size = self.sizes[others[i:j]]
+            first = np.cumsum(size) - size
+            at = np.repeat(self.starts[others[i:j]] - first, size) + np.arange(size.sum())
+            both[i:j] = np.add.reduceat(self.mine[self.codes[at]], first, dtype=np.int64)
+            i = j
+        self.mine[own] = False
+        # both / (a + b - both) >= 4 / 5
+        return 9 * both >= 4 * (self.sizes[query] + self.sizes[others])
+
+
+def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = None) -> list[tuple[int, int]]:
+    """Index pairs that span, in each group (consecutive equal numbers), the links: pairs within the radius whose sets, if given, are alike."""
     n = len(fps)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([first, [n]]))
@@ -219,18 +275,26 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, in
             members = at.reshape(-1, 64)[word]
             # once each, and only those that no link connects with the query yet
             wanted = (roots[members] != roots[query][:, None]) & (members >= 0) & ((members > query[:, None]) | settled[members])
+            if sets is not None:
+                # sizes alone tell that these are not alike
+                a, b = sets.sizes[query][:, None], sets.sizes[members]
+                wanted &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
             who = np.packbits(wanted, axis=1, bitorder="little").view(np.uint64).reshape(-1)
             some = np.flatnonzero(who)
             query, word = query[some], word[some]
             hit = near(planes, fps, query, word, who[some], radius)
-            for k in np.flatnonzero(hit):
-                q, w, h = int(query[k]), int(word[k]) * 64, int(hit[k])
-                while h:
-                    low = h & -h
-                    other = int(at[w + low.bit_length() - 1])
+            found = np.flatnonzero(hit)
+            lane, bit = np.nonzero(np.unpackbits(hit[found].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            asks, others = query[found[lane]], at[word[found[lane]] * 64 + bit]
+            cuts = np.flatnonzero(np.diff(asks)) + 1
+            for q, some in zip(asks[np.concatenate([[0], cuts])].tolist() if len(asks) else [], np.split(others, cuts)):
+                if sets is not None:
+                    mine = forest.root(q)
+                    some = np.array([x for x in some.tolist() if forest.root(x) != mine], np.int64)
+                    some = some[sets.like(q, some)]
+                for other in some.tolist():
                     if forest.join(q, other):
                         out.append((q, other))
-                    h ^= low
             i = j
 
     # the first 64 of each group meet all of it; what they bring together in its largest part needs
@@ -246,20 +310,26 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
-    """a, b: links between classes (cls distinct, fp, keys) that connect all that share a band and are within the radius."""
-    keyed = classes.select("cls", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, "key").select("cls", "key", F.ceil(F.col("n") / largest).cast("int").alias("chunks"))
+def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST, most: int = MOST) -> DataFrame:
+    """a, b: links between classes (cls distinct, fp, keys, size, source) of docs that connect all that share a band, are within the radius and alike."""
+    keyed = classes.select("cls", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("of")).where("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / largest, F.col("of") / most)).cast("int")
+    rows = written(keyed.join(shared, "key").select("cls", "key", chunks.alias("chunks")), "wide-groups")
+    sources = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("source.doc_id", "source.text_key")
+    held = classes.select("cls", "fp").join(shingle_sets(docs, sources, words), "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     rows = rows.select("cls", "key", mine.alias("x"), other.alias("y")).select("cls", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rows = rows.join(classes.select("cls", "fp"), "cls").select("key", "x", "y", "cls", "fp")
+    rows = rows.join(held, "cls").select("key", "x", "y", "cls", "fp", "found")
     rows = rows.repartition(max(1, partitions(classes.sparkSession)), "key", "x", "y").sortWithinPartitions("key", "x", "y", "cls")
 
     def solved(held: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(held.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        found = np.array(links(fps, np.cumsum(cuts), radius), np.int64).reshape(-1, 2)
+        each = held.column("found").to_pylist()
+        sets = Sets(np.frombuffer(b"".join(each), np.uint64), np.fromiter(map(len, each), np.int64, len(each)) // 8)
+        del each
+        found = np.array(links(fps, np.cumsum(cuts), radius, sets), np.int64).reshape(-1, 2)
         cls = held.column("cls").to_pylist()
         return pa.RecordBatch.from_arrays([pa.array([cls[i] for i in found[:, k]], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -292,8 +362,8 @@ def near_links(classes: DataFrame, radius: int = RADIUS, largest: int = LARGEST)
 def near_classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
     """doc_id, text_key, component_id and kept (the component's one document) of every row."""
     rows = written(sketches(docs, words), "wide-sketches")
-    classes = written(rows.groupBy("cls").agg(least_row().alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "wide-classes")
-    roots = components(near_links(classes, radius, largest))
+    classes = written(rows.groupBy("cls").agg(least_row().alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.max(F.struct("doc_id", "text_key")).alias("source")), "wide-classes")
+    roots = components(near_links(docs, classes, words, radius, largest))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("least"))
     final = named.join(groups, "root").select("cls", "least")

@@ -311,3 +311,17 @@ def test_query_equals_sql(spark, name):
     df = registry.queries()[name](spark, DATA)
     assert sorted(df.columns) == sorted(names)
     assert sorted(repr(tuple(r)) for r in df.select(names).collect()) == sorted(repr(tuple(r)) for r in want.fetchall())
+
+
+def test_simhash_wide_links_no_pair_below(spark):
+    """A chain of texts, each at 0.75 to the next, stays whole; of neighbours at 0.8 one stays."""
+
+    def chain(name, count, drop):
+        # 104 words, 100 shingles, of which the next text has all but `drop`
+        return [" ".join(f"{name}{i}" for i in range(k * drop, k * drop + 104)) for k in range(count)]
+
+    texts = [*(t for c in range(12) for t in chain(f"a{c}w", 10, 15)), *chain("bw", 5, 11)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = word_sets(dict(enumerate(texts)))
+    assert 0.73 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8 <= len(sets[120] & sets[121]) / len(sets[120] | sets[121])
+    assert {r.doc_id for r in simhash_wide.keep_one(docs).collect()} == set(range(121))
