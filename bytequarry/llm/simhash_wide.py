@@ -5,7 +5,10 @@ similarity of 0.8 or more. 64 bits can't tell 0.8 from unrelated, so a fingerpri
 1 where over half of the distinct shingles' hashes have it. Two sets of Jaccard similarity j have
 fingerprints that differ in a share acos(2j / (1 + j)) / pi of the bits, give or take a standard
 deviation: 155 +- 11 at 0.8, 197 +- 13 at 0.7, 274 +- 14 at 0.5. What RADIUS accepts is a candidate only:
-a link needs a similarity of 0.8 of the shingle sets themselves, counted in whole numbers.
+a link needs a similarity of 0.8 of the shingle sets themselves, counted in whole numbers. In small sets ties
+turn bits to zero and the formula does not hold (4 against 5 shingles: 192 bits at 0.8), so two sets of at
+most SHORT are candidates whatever their fingerprints. Of other pairs of 0.8, RADIUS leaves out fewer than
+one in 10**10, by the binomial distributions of bits.
 
 Texts of equal words (lower-cased A-Z, blanks aside) are one class. Classes meet in a group where they
 agree in a band: ROWS least hashes of their shingles, BANDS times (at 0.8, one pair in 6,000 meets in
@@ -40,7 +43,9 @@ from bytequarry.llm.simhash import Forest, components, is_kept, keyed, least_row
 SEED = 42
 WORDS = 5
 BITS = 1024
-RADIUS = 180
+RADIUS = 240
+#: Sets of so many shingles at most are compared without their fingerprints: a pair of 0.8 with one up to 64.
+SHORT = 80
 BANDS = 12
 ROWS = 3
 #: Classes of a group from which it is cut in chunks.
@@ -239,7 +244,10 @@ class Sets:
 
 
 def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = None) -> list[tuple[int, int]]:
-    """Index pairs that span, in each group (consecutive equal numbers), the links: pairs within the radius whose sets, if given, are alike."""
+    """Index pairs that span, in each group (consecutive equal numbers), the links: pairs within the radius.
+
+    With sets, links are the pairs whose sets are alike, of those within the radius and of all short ones.
+    """
     n = len(fps)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.concatenate([first, [n]]))
@@ -279,10 +287,14 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = N
                 # sizes alone tell that these are not alike
                 a, b = sets.sizes[query][:, None], sets.sizes[members]
                 wanted &= 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+                short = wanted & (a <= SHORT) & (b <= SHORT)
+                wanted &= ~short
             who = np.packbits(wanted, axis=1, bitorder="little").view(np.uint64).reshape(-1)
             some = np.flatnonzero(who)
-            query, word = query[some], word[some]
-            hit = near(planes, fps, query, word, who[some], radius)
+            hit = np.zeros(len(who), np.uint64)
+            hit[some] = near(planes, fps, query[some], word[some], who[some], radius)
+            if sets is not None:
+                hit |= np.packbits(short, axis=1, bitorder="little").view(np.uint64).reshape(-1)
             found = np.flatnonzero(hit)
             lane, bit = np.nonzero(np.unpackbits(hit[found].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             asks, others = query[found[lane]], at[word[found[lane]] * 64 + bit]
@@ -311,7 +323,7 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = N
 
 
 def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST, most: int = MOST) -> DataFrame:
-    """a, b: links between classes (cls distinct, fp, keys, size, source) of docs that connect all that share a band, are within the radius and alike."""
+    """a, b: links between classes (cls distinct, fp, keys, size, source) of docs that connect all that share a band and are alike (see links)."""
     keyed = classes.select("cls", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("of")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / largest, F.col("of") / most)).cast("int")

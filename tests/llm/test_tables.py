@@ -325,3 +325,14 @@ def test_simhash_wide_links_no_pair_below(spark):
     sets = word_sets(dict(enumerate(texts)))
     assert 0.73 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8 <= len(sets[120] & sets[121]) / len(sets[120] | sets[121])
     assert {r.doc_id for r in simhash_wide.keep_one(docs).collect()} == set(range(121))
+
+
+def test_simhash_wide_links_short_texts(spark):
+    """Texts of few shingles with a similarity of 0.8 or more, of which one has a word or more at its end than the other."""
+    texts = []
+    for k, (few, many) in enumerate([(8, 9), (9, 10), (10, 11), (16, 19), (17, 18), (24, 29), (68, 84)] * 30):
+        texts += [" ".join(f"t{k}w{i}" for i in range(n)) for n in (few, many)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = word_sets(dict(enumerate(texts)))
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2))
+    assert {r.doc_id for r in simhash_wide.keep_one(docs).collect()} == set(range(0, len(texts), 2))
