@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections import Counter
+from operator import add
 
 from bytequarry.functions.binary import BitReader, decrypt, encrypt, pack_bits
 from bytequarry.functions.formats import PACKED_SCRIPT_MAGIC
@@ -78,7 +79,7 @@ def decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def matches(data: bytes, checks: int = 16) -> list[tuple[int, int]]:
+def matches(data: bytes, checks: int = 64) -> list[tuple[int, int]]:
     """(length, distance) of the longest match found at each position, (0, 0) for none."""
     out, last, before = [(0, 0)] * len(data), {}, [-1] * len(data)
     for i in range(len(data) - 2):
@@ -120,19 +121,18 @@ def code_lengths(counts: dict[int, int]) -> list[int]:
     return lengths
 
 
-def parse(data: bytes, found: list[tuple[int, int]], lengths: list[int] | None) -> list[tuple[int, int]]:
-    """(symbol, distance) tokens of least cost under the code lengths (9 bits each without)."""
+def parse(data: bytes, found: list[tuple[int, int]], price: list[int]) -> list[tuple[int, int]]:
+    """(symbol, distance) tokens of least cost, of all lengths of the matches, at so many bits a symbol."""
     cost = [0] * (len(data) + 1)
     step = [1] * len(data)
-    price = [n or 18 for n in lengths] if lengths else [9] * SYMBOLS
+    of_match = [n + 12 for n in price[254:]]
     for i in range(len(data) - 1, -1, -1):
         best, take = price[data[i]] + cost[i + 1], 1
         longest = found[i][0]
         if longest:
-            for n in {longest, *range(3, min(longest, 10) + 1)}:
-                c = price[254 + n] + 12 + cost[i + n]
-                if c < best:
-                    best, take = c, n
+            costs = list(map(add, of_match[3 : longest + 1], cost[i + 3 : i + longest + 1]))
+            if (c := min(costs)) < best:
+                best, take = c, 3 + costs.index(c)
         cost[i], step[i] = best, take
     out, i = [], 0
     while i < len(data):
@@ -142,16 +142,18 @@ def parse(data: bytes, found: list[tuple[int, int]], lengths: list[int] | None)
     return out
 
 
-def encode(data: bytes, rounds: int = 3, checks: int = 16) -> bytes:
+def encode(data: bytes, rounds: int = 4, checks: int = 64) -> bytes:
     if not data:
         raise ValueError("an empty script cannot be compressed")
-    found, lengths = matches(data, checks), None
+    found, price = matches(data, checks), [9] * SYMBOLS
     for _ in range(rounds):
-        tokens = parse(data, found, lengths)
-        new = code_lengths(Counter(s for s, _ in tokens))
-        if new == lengths:
+        tokens = parse(data, found, price)
+        lengths = code_lengths(Counter(s for s, _ in tokens))
+        # a symbol that is not in use keeps the price it had
+        new = [n or p for n, p in zip(lengths, price, strict=True)]
+        if new == price:
             break
-        lengths = new
+        price = new
     codes = codes_of(lengths)
     values, sizes = [], []
     for symbol, back in tokens:

@@ -195,3 +195,15 @@ def test_random_text_round_trip():
     data = " ".join(rng.choice(["the", "of", "cat", "house"]) for _ in range(2000)).encode()
     packed = dsc.encode(data)
     assert dsc.decode(packed) == data and len(packed) < len(data)
+
+
+def test_script_search_as_wide_as_the_reference():
+    # forty nearer matches of three bytes stand before the long one
+    far = b"abcdefghijklmnop"
+    data = far + b"".join(b"abc" + bytes([128 + i]) for i in range(40)) + far
+    assert dsc.matches(data)[len(data) - len(far)] == (len(far), len(data) - len(far))
+    # a length above ten that is not the longest is the cheapest
+    price = [9] * dsc.SYMBOLS
+    price[254 + 20 : 254 + 31] = [1] + [200] * 10
+    found = [(0, 0)] * 5 + [(30, 5)] + [(0, 0)] * 29
+    assert dsc.parse(b"abcde" * 7, found, price) == [*((x, 0) for x in b"abcde"), (254 + 20, 5), *((x, 0) for x in b"abcde" * 2)]
