@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bytequarry.llm import bpe, langid, linededup, media, packing, planes, registry, simhash, simhash_wide, spotsigs, toxicity, urlcascade
+from bytequarry.llm import bpe, langid, linededup, media, packing, planes, registry, simhash, simhash_wide, spotsigs, tokens, toxicity, urlcascade
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, bucket string, hi string, fp string, length string, page_id string"
@@ -156,6 +156,26 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_equals_the_library(spark):
+    """Every piece of the whole table: its ids are the library's, its place its own, and bin completion found no more sequences than best fit."""
+    library = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"), False).whole
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want, counts = {}, {}
+    for r in docs.collect():
+        ids = library(r.text or "") + bytes(4)
+        n = len(ids) // 4
+        cuts = [0, *range(n % 2048 or 2048, n + 1, 2048)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r.doc_id, i] = (a, b - a, zlib.crc32(ids[4 * a : 4 * b]))
+            counts[b - a] = counts.get(b - a, 0) + 1
+    rows = packing.pack(docs).toPandas()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows.itertuples()} == want and len(rows) == len(want)
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+    assert set(rows.packed_by) == {"completion"}
+    assert packing.least(counts, 2048) <= rows.sequence_id.nunique() <= sum(n for _, n in packing.best_fit(counts, 2048))
+
+
 def test_bpe(spark, odd, none):
     rows = bpe.round_trip(odd, keep=True).collect()
     texts = sorted(r.text or "" for r in odd.collect())
