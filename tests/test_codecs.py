@@ -1,3 +1,4 @@
+import math
 import random
 import struct
 
@@ -113,12 +114,62 @@ def test_version_2_alpha():
 
 
 def test_transform_agrees_with_cosines():
-    c = np.zeros((1, 8, 8), np.int64)
-    c[0] = np.random.default_rng(3).integers(-20, 20, (8, 8))
-    got = image.inverse_transform(c, image.basis())[0]
-    k = np.arange(8)
-    waves = np.where(k[:, None] == 0, 1, np.sqrt(2)) * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
-    assert np.abs(got - waves.T @ c[0] @ waves).max() < 1e-2
+    rng = np.random.default_rng(3)
+    c, scale = rng.integers(-20, 20, (2, 8, 8)), rng.integers(1, 9, (8, 8))
+    got = image.inverse_transform(c, scale)
+    for n, y, x in ((0, 0, 0), (0, 3, 7), (1, 7, 2), (1, 4, 4)):
+        want = 0.0
+        for v in range(8):
+            for u in range(8):
+                side = [1 if f == 0 else math.sqrt(2) * math.cos((2 * p + 1) * f * math.pi / 16) for f, p in ((v, y), (u, x))]
+                want += c[n, v, u] * scale[v, u] * side[0] * side[1]
+        assert abs(got[n, y, x] - want) < 1e-9
+
+
+def test_version_2_terms_by_hand():
+    """Codes of a block: 3 bits after no zero, a gap of 16, 2 bits after one zero, the end."""
+    codes = [0x30, 0x0F, 0x21, 0x00]
+    tree = image.WeightTree([1 if i in codes else 0 for i in range(176)])
+    # equal weights: 0 and 15 are joined first, then 33 and 48; codes 00, 01, 10, 11
+    bits = {0: "00", 15: "01", 33: "10", 48: "11"}
+    text = bits[48] + "101" + bits[15] + bits[33] + "01" + bits[48] + "010" + bits[0]
+    reader = binary.BitReader(int(text.ljust(40, "0"), 2).to_bytes(5, "big"))
+    assert list(image.later_terms(reader, tree)) == [(1, 5), (19, -2), (20, -5)] and reader.at == len(text)
+    assert image.zigzag()[:7] == [0, 1, 8, 16, 9, 2, 3]
+
+
+@pytest.mark.parametrize("items,want", [
+    ([7, 8, (-1, 0, 3)], [7, 8, 8, 8, 8]), ([*range(8), (0, -1, 3), 9], [*range(8), 0, 1, 2, 9]), ([1, (-1, 0, 130), 5], [1] * 64),
+    ([*range(8), (2, -1, 4)], [*range(8), 2, 3, 4, 5]), ([1, (-2, 0, 3), 5], [1]), ([1, (1, 0, 3), 5], [1]), ([], []),
+])
+def test_version_2_alpha_by_hand(items, want):
+    out, at = bytearray(b"\1\0\0\0"), 0
+    for i, item in enumerate(items):
+        if i % 8 == 0:
+            at = len(out)
+            out.append(0)
+        if isinstance(item, tuple):
+            across, up, n = item
+            out[at] |= 1 << i % 8
+            out += struct.pack("<H", across & 63 | (up & 7) << 6 | n - 3 << 9)
+        else:
+            out.append(item)
+    assert list(image.alpha_samples(bytes(out), 8, 64)) == want
+    short = list(image.alpha_samples(bytes(out[:-1]), 8, 64))
+    assert short == want[: len(short)]
+    assert image.alpha_samples(b"\2" + bytes(out[1:]), 8, 64) == b""
+
+
+def test_crafted_headers_ask_for_no_memory():
+    data = bytearray(image.encode(image.Image(1, 1, False, b"\1\2\3\xff")))
+    head = list(image.HEAD.unpack_from(data))
+    for at, value in ((4, 2**32 - 1), (1, 65535)):
+        new = list(head)
+        new[at] = value
+        if at == 1:
+            new[2] = 65535
+        with pytest.raises(ValueError):
+            image.decode(image.HEAD.pack(*new) + bytes(data[image.HEAD.size :]))
 
 
 def test_weight_tree_ties():
