@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a file that is not as it should be makes a decoder raise: its row's error, never the query's.
+FILE_ERRORS = (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error)
+
 
 def as_column(x: Column | str | int) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x) if isinstance(x, int) else x
@@ -50,15 +56,15 @@ def escape(text: Column | str) -> Column:
 def unescape(text: Column | str) -> Column:
     """The reverse, left to right: another escaped character is itself; a last lone backslash stays.
 
-    A pair of backslashes is set aside under a character that the text cannot hold by itself, so that
-    the replacements after it see single escapes only.
+    A text is cut at its escaped backslashes, so that its pieces hold escapes of other characters only.
     """
-    hold = "﷐"
-    out = F.replace(as_column(text), F.lit("\\\\"), F.lit(hold))
-    for raw, letter in (("\n", "n"), ("\r", "r"), ("\t", "t")):
-        out = F.replace(out, F.lit("\\" + letter), F.lit(raw))
-    out = F.regexp_replace(out, r"\\(?s)(.)", "$1")
-    return F.replace(out, F.lit(hold), F.lit("\\"))
+
+    def piece(x: Column) -> Column:
+        for raw, letter in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+            x = F.replace(x, F.lit("\\" + letter), F.lit(raw))
+        return F.regexp_replace(x, r"\\(?s)(.)", "$1")
+
+    return F.array_join(F.transform(F.split(as_column(text), r"\\\\", -1), piece), "\\")
 
 
 def unescape_text(text: str) -> str:
@@ -95,15 +101,27 @@ def parse_offsets(text: Column | str) -> Column:
 KEY_LOW, KEY_HIGH = 20021, 346
 
 
+def keystreams(keys: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes of the streams that 32-bit keys start, a row a key; a step of all of them at once."""
+    key, out = np.asarray(keys, np.uint32), np.empty((len(keys), n), np.uint8)
+    half, word = np.uint32(0xFFFF), np.uint32(16)
+    for i in range(n):
+        low = np.uint32(KEY_LOW) * (key & half)
+        high = (np.uint32(KEY_LOW) * (key >> word) + np.uint32(KEY_HIGH) * key + (low >> word)) & half
+        key = (high << word) + (low & half) + np.uint32(1)
+        out[:, i] = high & np.uint32(0xFF)
+    return out
+
+
 def keystream(key: int, n: int) -> np.ndarray:
     """The first n bytes of the stream that a 32-bit key starts."""
-    out = np.empty(n, np.uint8)
-    for i in range(n):
+    out, mask = bytearray(), 0xFFFFFFFF
+    for _ in range(n):
         low = KEY_LOW * (key & 0xFFFF)
         high = (KEY_LOW * (key >> 16) + KEY_HIGH * key + (low >> 16)) & 0xFFFF
-        key = ((high << 16) + (low & 0xFFFF) + 1) & 0xFFFFFFFF
-        out[i] = high & 0xFF
-    return out
+        key = ((high << 16) + (low & 0xFFFF) + 1) & mask
+        out.append(high & 0xFF)
+    return np.frombuffer(bytes(out), np.uint8)
 
 
 def decrypt(data: bytes, key: int) -> bytes:
@@ -137,6 +155,29 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
     raise ValueError("a varint is too long")
 
 
+def put_varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The varints of unsigned 32-bit values, one after the other, and the size of each."""
+    values = np.asarray(values, np.uint64)
+    groups = np.stack([values >> np.uint64(7 * k) for k in range(5)], axis=1)
+    sizes = np.maximum(1, (groups > 0).sum(axis=1))
+    places = np.arange(5) < sizes[:, None]
+    more = np.where(np.arange(5) < sizes[:, None] - 1, 0x80, 0)
+    return ((groups & np.uint64(0x7F)).astype(np.uint8) | more.astype(np.uint8))[places].tobytes(), sizes
+
+
+def get_varints(data: bytes) -> np.ndarray:
+    """The values of varints that stand one after the other."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    last = np.flatnonzero(b < 0x80)
+    if len(b) and (not len(last) or last[-1] != len(b) - 1):
+        raise ValueError("a varint passes the end")
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    if len(last) and (last - first).max() > 4:
+        raise ValueError("a varint is too long")
+    place = np.arange(len(b)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((b & np.uint64(0x7F)) << (np.uint64(7) * place.astype(np.uint64)), first) & np.uint64(0xFFFFFFFF) if len(b) else b
+
+
 class BitReader:
     """Bits of a byte string, highest first."""
 

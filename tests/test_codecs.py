@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -258,3 +259,101 @@ def test_script_search_as_wide_as_the_reference():
     price[254 + 20 : 254 + 31] = [1] + [200] * 10
     found = [(0, 0)] * 5 + [(30, 5)] + [(0, 0)] * 29
     assert dsc.parse(b"abcde" * 7, found, price) == [*((x, 0) for x in b"abcde"), (254 + 20, 5), *((x, 0) for x in b"abcde" * 2)]
+
+
+def png_file(width, height, depth, kind, rows_of_passes, interlaced=0, extra=()):
+    """A PNG file of unfiltered rows, given as bytes, with extra chunks before its data."""
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    body = zlib.compress(b"".join(b"\0" + r for rows in rows_of_passes for r in rows))
+    return png.MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, interlaced)) + b"".join(chunk(*e) for e in extra) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_png_of_few_bits(depth):
+    most = (1 << depth) - 1
+    grey = [[(3 * x + y) & most for x in range(5)] for y in range(3)]
+    lines = [int("".join(f"{v:0{depth}b}" for v in row).ljust(-(-5 * depth // 8) * 8, "0"), 2).to_bytes(-(-5 * depth // 8), "big") for row in grey]
+    got = png.load(png_file(5, 3, depth, 0, [lines], extra=[(b"tRNS", struct.pack(">H", most))]))
+    assert [list(got.pixels[i : i + 4]) for i in range(0, 60, 4)] == [[v * 255 // most] * 3 + [0 if v == most else 255] for row in grey for v in row]
+    palette = bytes(range(3 * (most + 1)))
+    got = png.load(png_file(5, 3, depth, 3, [lines], extra=[(b"PLTE", palette), (b"tRNS", b"\x07")]))
+    assert [list(got.pixels[i : i + 4]) for i in range(0, 60, 4)] == [[3 * v + 2, 3 * v + 1, 3 * v, 255 if v else 7] for row in grey for v in row]
+
+
+def test_png_of_16_bits_and_interlace():
+    rng = np.random.default_rng(2)
+    px = rng.integers(0, 1 << 16, (7, 6, 4)).astype(">u2")
+    want = (px >> 8).astype(np.uint8)[..., [2, 1, 0, 3]].tobytes()
+    assert png.load(png_file(6, 7, 16, 6, [[r.tobytes() for r in px]])).pixels == want
+    passes = []
+    for p in range(7):
+        x, y, dx, dy = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))[p]
+        passes.append([r.tobytes() for r in px[y::dy, x::dx] if len(r)])
+    assert png.load(png_file(6, 7, 16, 6, passes, 1)).pixels == want
+
+
+def test_png_errors():
+    good = png.save(image.Image(3, 2, False, bytes([1, 2, 3, 255]) * 6))
+    at = good.index(b"IDAT")
+    for bad in (b"", good[:12], good[:20], good[: at + 6], good[: at + 4] + b"\xff" + good[at + 5 :], good[:16] + b"\xff" * 8 + good[24:], good[:24] + b"\x03" + good[25:], good[:25] + b"\x03" + good[26:]):
+        with pytest.raises(ValueError):
+            png.load(bad)
+
+
+def test_varint_arrays_and_keystreams():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**28 - 1, 2**28, 2**32 - 1], np.uint64)
+    data, sizes = binary.put_varints(values)
+    assert data == b"".join(binary.put_varint(int(v)) for v in values) and sizes.tolist() == [len(binary.put_varint(int(v))) for v in values]
+    assert (binary.get_varints(data) == values).all() and len(binary.get_varints(b"")) == 0
+    for bad in (b"\x80", b"\x80" * 5 + b"\1"):
+        with pytest.raises(ValueError):
+            binary.get_varints(bad)
+    keys = [0, 1, 2**32 - 1, 123456789]
+    assert [list(x) for x in binary.keystreams(np.array(keys, np.uint32), 40)] == [binary.keystream(k, 40).tolist() for k in keys]
+
+
+def test_script_codec_vectors_by_hand():
+    """Streams that the encoder did not write: literals, overlapping matches, the nearest and a longest match."""
+
+    def packed(lengths, bits, size, key=0):
+        table = bytearray(512)
+        for symbol, n in lengths.items():
+            table[symbol] = n
+        return b"DSC FORMAT 1.00\0" + struct.pack("<II8x", key, size) + binary.encrypt(bytes(table), key) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    # canonical codes by length, then symbol: a 0, b 10, match of 3 (257) 110, of 257 (511) 111
+    codes = {97: 1, 98: 2, 257: 3, 511: 3}
+    back = lambda n: f"{n - 2:012b}"
+    assert dsc.decode(packed(codes, "0" + "10" + "110" + back(2), 5)) == b"ababa"
+    assert dsc.decode(packed(codes, "0" + "10" + "111" + back(2), 259, 77)) == (b"ab" * 130)[:259]
+    assert dsc.decode(packed(codes, "0" + "10" + "10" + "110" + back(3) + "0", 7)) == b"abbabba"
+    assert dsc.decode(packed({120: 1}, "0000", 4)) == b"xxxx"
+    with pytest.raises(ValueError):
+        dsc.decode(packed(codes, "0" + "110" + back(2), 4))
+
+
+def test_image_vector_by_hand():
+    """A version 1 file that the encoder did not write: 2 x 2 pixels of 3 channels, residuals in two runs."""
+    # bytes of the packed stream: a plain run of 7, its values, a run of 5 zeros
+    residuals = [10, 20, 30, 1, 1, 1, 2]
+    packed = bytes([7, *residuals, 5])
+    counts = [0] * 256
+    for b in packed:
+        counts[b] += 1
+    # 7:1 10:1 20:1 30:1 1:3 2:1 5:1; the two lightest are joined, by symbol: (2,5) (7,10) (20,30), then (1+...)
+    table = b"".join(binary.put_varint(c) for c in counts)
+    # joins in order: 2+5=A(2), 7+10=B(2), 20+30=C(2), then A+B=D(4), C+1=E(5), D+E
+    bits = {2: "000", 5: "001", 7: "010", 10: "011", 20: "100", 30: "101", 1: "11"}
+    # C has weight 2 and 1 has weight 3, so C is the 0 side of E and 1 the 1 side
+    bits |= {20: "1" + "0" + "0", 30: "1" + "0" + "1", 1: "11"}
+    text = "".join(bits[b] for b in packed)
+    body = int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    xor = 0
+    for b in table:
+        xor ^= b
+    data = struct.pack("<16sHHI8xIIIBBH", b"CompressedBG___\0", 2, 2, 24, len(packed), 99, len(table), sum(table) & 255, xor, 1) + binary.encrypt(table, 99) + body
+    # first pixel; its right neighbour is it plus 1 each; below: left alone is the upper plus (2, 0, 0); the last one is the mean
+    first, right, below = (10, 20, 30), (11, 21, 31), (12, 20, 30)
+    last = [(a + b) >> 1 for a, b in zip(below, right)]
+    want = b"".join(bytes([*p, 255]) for p in (first, right, below, last))
+    assert image.decode(data) == image.Image(2, 2, False, want)
