@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import binary, codepage, dsc, image
+from bytequarry.functions import binary, codepage, dsc, image, png, registered
 from bytequarry.operators import archive, classify, script
-from bytequarry.plans import fixtures, unpack
+from bytequarry.plans import fixtures, tools, unpack
 from bytequarry.sources import projects
 
 _QUERIES: dict = {}
@@ -65,11 +66,25 @@ def archive_extract(table):
     return rows.select("arc_path", "entry_index", "path", F.decode("content", "UTF-8").alias("text"))
 
 
-@query("""SELECT count(DISTINCT source || '/' || (doc_id // 64)) AS archives, count(*) AS extracted, count(*) AS processed,
+@query("""SELECT count(DISTINCT source || '/' || (doc_id // 64)) + 1 AS archives, count(*) AS extracted, count(*) AS processed,
   count(*) FILTER (WHERE doc_id % 6 IN (1, 2, 3)) AS converted, count(*) FILTER (WHERE doc_id % 6 NOT IN (1, 2, 3)) AS skipped FROM documents""")
 def archive_summary(table):
-    """Run summary of a full unpack of archives with six kinds of entries."""
-    return unpack.summary(unpack.unpack(fixtures.archives(table("documents"), mixed=True)))
+    """Run summary of a full unpack of archives with six kinds of entries, one without entries and a damaged one."""
+    found = _archives_and_odd(table, mixed=True)
+    return unpack.summary(unpack.unpack(found), found)
+
+
+def _archives_and_odd(table, mixed=False):
+    made = fixtures.archives(table("documents"), mixed)
+    none = fixtures.write_archive([])
+    odd = made.sparkSession.createDataFrame([("empty.arc", bytearray(none)), ("bad.arc", bytearray(none[:12] + b"\7\0\0\0"))], "arc_path string, content binary")
+    return made.unionByName(odd)
+
+
+@query("""SELECT count(DISTINCT source || '/' || (doc_id // 64)) + 2 AS archives, count(*) AS total_entries, sum(strlen(coalesce(text, '')))::BIGINT AS total_bytes, 2 * count(*) AS total_work FROM documents""")
+def archive_work(table):
+    """Entries, bytes and steps ahead of a run over the same archives, from their directories."""
+    return unpack.work(_archives_and_odd(table))
 
 
 @query(f"""SELECT {ARC} AS arc_path, printf('text/doc_%08d.bin', doc_id) AS path,
@@ -132,8 +147,8 @@ def le_u32_decode(table):
 def varint_roundtrip(table):
     @F.pandas_udf("value long, bytes int")
     def there_and_back(values: pd.Series) -> pd.DataFrame:
-        packed = [binary.put_varint(int(v)) for v in values]
-        return pd.DataFrame({"value": [binary.get_varint(p, 0)[0] for p in packed], "bytes": [len(p) for p in packed]})
+        packed, sizes = binary.put_varints(values.to_numpy())
+        return pd.DataFrame({"value": binary.get_varints(packed).astype("int64"), "bytes": sizes.astype("int32")})
 
     return table("lineitem").select("l_orderkey", "l_linenumber", there_and_back(F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("v")).select("l_orderkey", "l_linenumber", "v.value", "v.bytes")
 
@@ -151,7 +166,9 @@ def keystream(table):
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([(k, i, int(b)) for k in pdf["n_nationkey"] for i, b in enumerate(binary.keystream(k * 2654435761 % 2**32, 64))], columns=["n_nationkey", "position", "byte"])
+            keys = pdf["n_nationkey"].to_numpy()
+            streams = binary.keystreams(keys.astype("int64") * 2654435761 % 2**32, 64)
+            yield pd.DataFrame({"n_nationkey": keys.repeat(64), "position": np.tile(np.arange(64, dtype="int32"), len(keys)), "byte": streams.reshape(-1).astype("int32")})
 
     return table("nation").select("n_nationkey").mapInPandas(run, "n_nationkey int, position int, byte int")
 
@@ -186,9 +203,14 @@ def escape_text(table):
     return table("documents").select("doc_id", binary.escape(F.concat("text", F.lit("\\n\t"))).alias("escaped"))
 
 
-@query("SELECT doc_id, text || chr(92) || 'n' || chr(9) AS text FROM documents")
+@query("SELECT doc_id, text || chr(64976) || chr(92) || 'n' || chr(9) || chr(92) AS text FROM documents")
 def unescape_text(table):
-    return table("documents").select("doc_id", binary.unescape(binary.escape(F.concat("text", F.lit("\\n\t")))).alias("text"))
+    return table("documents").select("doc_id", binary.unescape(binary.escape(F.concat("text", F.lit("\ufdd0\\n\t\\")))).alias("text"))
+
+
+@query("SELECT doc_id, trim(chr(9) || ' ' || text || chr(13) || chr(10) || ' ', ' ' || chr(9) || chr(10) || chr(13)) AS trimmed FROM documents")
+def trim_text(table):
+    return table("documents").select("doc_id", binary.trim(F.concat(F.lit("\t "), "text", F.lit("\r\n "))).alias("trimmed"))
 
 
 @query("SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents")
@@ -204,10 +226,10 @@ def hex_offsets(table):
 
 
 # Scripts: a conversation a script, a slot a turn; see fixtures.write_script for where the references are.
-TURNS = """plain AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING NOT bool_or(regexp_matches(text, '[^\\x00-\\x7F]'))),
+TURNS = """plain AS (SELECT conv_id, turn, array_to_string([CASE WHEN unicode(c) < 128 THEN c ELSE printf('{%04X}', unicode(c)) END for c in string_split(coalesce(text, ''), '')], '') AS text FROM conversations),
 t AS (SELECT printf('conv_%06d', conv_id) AS script, conv_id % 2 AS v, text, row_number() OVER w - 1 AS k, first_value(text) OVER w AS speaker, count(*) OVER (PARTITION BY conv_id) AS n,
   coalesce(sum(strlen(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS text_offset
-  FROM conversations JOIN plain USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  FROM plain WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT script, 4 * (96 + k * CASE v WHEN 1 THEN 8 ELSE 16 END + 2) AS pos, text_offset,
         ['name', 'text', 'ruby_kanji', 'ruby_furigana', 'backlog', 'file', 'other'][k % 7 + 1] AS kind, text, speaker FROM t
       UNION ALL SELECT script, 4 * (96 + k * CASE v WHEN 1 THEN 8 ELSE 16 END + CASE v WHEN 1 THEN 0 ELSE 4 END), 0, 'other', speaker, speaker FROM t WHERE k % 7 = 1),
@@ -298,27 +320,34 @@ def patched_references(table):
 
 
 def _through_dsc(text: str) -> Column:
+    """size and sha256 of what comes back; null for an empty text, which the format cannot hold."""
+
     @F.pandas_udf("size long, sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            packed = dsc.encode(t.encode())
-            rows.append((len(packed), hashlib.sha256(dsc.decode(packed)).hexdigest()))
-        return pd.DataFrame(rows, columns=["size", "sha256"])
+            packed = dsc.encode(t.encode()) if t else None
+            rows.append((len(packed), hashlib.sha256(dsc.decode(packed)).hexdigest()) if t else (None, None))
+        return pd.DataFrame({"size": pd.Series([r[0] for r in rows], dtype="Int64"), "sha256": pd.Series([r[1] for r in rows], dtype=object)})
 
     return run(text)
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text <> ''")
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents dealt out to all partitions: packing costs far more than their bytes."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query("SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM documents")
 def dsc_roundtrip(table):
-    return table("documents").where("text <> ''").repartition(16).select("doc_id", _through_dsc("text").alias("d")).select("doc_id", "d.sha256")
+    return _spread(table("documents").select("doc_id", "text")).select("doc_id", _through_dsc("text").alias("d")).select("doc_id", "d.sha256")
 
 
-@query()
+@query("SELECT lang, count(*) AS docs, sum(strlen(coalesce(text, '')))::BIGINT AS plain, true AS smaller FROM documents GROUP BY lang")
 def dsc_ratio(table):
-    """Compressed to plain size by language (the size is the encoder's own)."""
-    rows = table("documents").where("text <> ''").repartition(16).select("lang", F.octet_length("text").alias("plain"), _through_dsc("text").alias("d"))
-    return rows.groupBy("lang").agg(F.count("*").alias("docs"), (F.sum("d.size") / F.sum("plain")).alias("ratio"))
+    """Whether all of a language's documents take less room compressed (each with its own table of 512 bytes)."""
+    rows = _spread(table("documents").select("lang", "text")).select("lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("plain"), _through_dsc("text").alias("d"))
+    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("plain").alias("plain"), (F.sum("d.size") < F.sum("plain")).alias("smaller"))
 
 
 @query(f"""WITH {TURNS} SELECT script, "index", kind, original_text FROM e""")
@@ -380,6 +409,103 @@ def cbg_stats(table):
     return rows.select("vec_id", "has_alpha", F.size(F.array_distinct(grey)).alias("levels"), F.array_max(grey).alias("highest"))
 
 
+@query(f"""WITH {SAMPLES}, p AS (SELECT vec_id, a, unnest(range(16)) AS x FROM s),
+v AS (SELECT vec_id, x, a[3] AS alpha, CASE WHEN x < 8 THEN 128 + (trunc(8 * (a[1] - 128) + 3 * (a[4] % 41 - 20) * sqrt(2) * cos((2 * x + 1) * pi() / 16))::BIGINT >> 3) ELSE a[2] END AS y FROM p)
+SELECT vec_id, x::INT AS x, greatest(0, least(255, y))::INT AS grey, alpha::INT AS alpha, 8 AS rows_alike FROM v""")
+def cbg_v2_waves(table):
+    """Version 2 images decoded: each column's grey and alpha, and how many of the 8 rows have them."""
+
+    def run(batches):
+        for batch in batches:
+            for vec_id, content in zip(batch["vec_id"], batch["content"], strict=True):
+                px = np.frombuffer(image.decode(bytes(content)).pixels, np.uint8).reshape(8, 16, 4)
+                alike = (px == px[:1]).all(axis=2).sum(axis=0) * (px[0, :, 0] == px[0, :, 1]) * (px[0, :, 1] == px[0, :, 2])
+                yield pd.DataFrame({"vec_id": vec_id, "x": np.arange(16), "grey": px[0, :, 0], "alpha": px[0, :, 3], "rows_alike": alike})
+
+    return fixtures.wave_images(fixtures.quantised(table("embeddings"))).mapInPandas(run, "vec_id long, x int, grey int, alpha int, rows_alike int")
+
+
+@query(f"""WITH {SAMPLES} SELECT vec_id, 8 AS width, 8 AS height, list_max(a) > 0 AS has_alpha, array_to_string([printf('%02X%02X%02X%02X', x, 255 - x, x, 255 - x) for x in a], '') AS pixels FROM s""")
+def png_roundtrip(table):
+    @F.pandas_udf("width int, height int, has_alpha boolean, pixels binary")
+    def run(values: pd.Series) -> pd.DataFrame:
+        back = [png.load(png.save(image.Image(8, 8, True, bytes(b for x in v for b in (x, 255 - x, x, 255 - x))))) for v in values]
+        return pd.DataFrame([(i.width, i.height, i.has_alpha, i.pixels) for i in back], columns=["width", "height", "has_alpha", "pixels"])
+
+    return fixtures.quantised(table("embeddings")).select("vec_id", run("samples").alias("i")).select("vec_id", "i.width", "i.height", "i.has_alpha", F.hex("i.pixels").alias("pixels"))
+
+
+def _named(rows: DataFrame, view: str) -> SparkSession:
+    rows.createOrReplaceTempView(view)
+    registered.register(rows.sparkSession)
+    return rows.sparkSession
+
+
+@query(f"WITH {ENTRY} SELECT arc_path, entry_index, replace(path, '/', chr(92)) AS name, \"offset\", size FROM e")
+def sql_archive_entries(table):
+    """The listing by the table function's SQL name."""
+    return _named(fixtures.archives(table("documents")), "archives_of_documents").sql("SELECT a.arc_path, e.entry_index, e.name, e.offset, e.size FROM archives_of_documents a, LATERAL archive_entries(a.content) e")
+
+
+@query(f"WITH {TURNS} SELECT script, k::INT AS slot_no, text_offset AS slot_offset, text FROM t")
+def sql_script_slots(table):
+    """Slots of compressed scripts by the table function's SQL name."""
+    return _named(fixtures.scripts(table("conversations"), packed=True), "scripts_of_conversations").sql("SELECT s.script, x.slot_no, x.slot_offset, codepage_decode(x.bytes, 932) AS text FROM scripts_of_conversations s, LATERAL script_slots(s.content) x")
+
+
+@query("SELECT p_partkey, p_name AS text, true AS smaller_than_a_kilobyte FROM part")
+def sql_codecs(table):
+    """Names of parts through the script codec and the code page by their SQL names."""
+    return _named(table("part"), "part_names").sql("""SELECT p_partkey, codepage_decode(dsc_decode(c.value).value, 932) AS text, octet_length(c.value) < 1024 AS smaller_than_a_kilobyte
+      FROM (SELECT p_partkey, dsc_encode(codepage_encode(p_name, 932).value) AS c FROM part_names)""")
+
+
+@query("""SELECT printf('%08d.%s', doc_id, ['dsc', 'png', 'bin', 'bw', 'bw', 'txt'][doc_id % 6 + 1]) AS path, ['dsc-script', 'png-image', 'compiled-script', 'bgi-audio', 'bgi-audio', 'unknown'][doc_id % 6 + 1] AS label,
+  ['error', 'skipped', 'error', 'error', 'converted', 'skipped'][doc_id % 6 + 1] AS status, CASE WHEN doc_id % 6 = 4 THEN coalesce(text, '') END AS output FROM documents""")
+def asset_job(table):
+    """Loose files by their first bytes: damaged scripts and audio are errors of their own, sound audio gives its payload."""
+    return tools.convert_assets(_loose(table)).select("path", "label", "status", F.decode("output", "UTF-8").alias("output"))
+
+
+@query("""SELECT printf('%08d.%s', doc_id, ['dsc', 'png', 'bin', 'bw', 'bw', 'txt'][doc_id % 6 + 1]) AS path, CASE WHEN doc_id % 6 = 1 THEN 'error' ELSE 'skipped' END AS status FROM documents""")
+def image_job_errors(table):
+    """Damaged PNG files fail alone."""
+    return tools.convert_images(_loose(table)).select("path", "status")
+
+
+def _loose(table) -> DataFrame:
+    text, turn = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.pmod("doc_id", F.lit(6)).cast("int")
+    # a script too short, a PNG without chunks, a header beyond the code, audio beyond its end and whole, and none of these
+    heads = [b"DSC FORMAT 1.00\0", b"\x89PNG\r\n\x1a\n", b"BurikoCompiledScriptVer1.00\0\xff\xff\xff\x7f"]
+    audio = fixtures.audio_column(text)
+    cut = F.substring(audio, F.lit(1), F.octet_length(audio) - 1)
+    content = F.when(turn == 0, F.lit(heads[0])).when(turn == 1, F.concat(F.lit(heads[1]), F.lit(b"\0\0"), text)).when(turn == 2, F.lit(heads[2])).when(turn == 3, F.when(F.octet_length(text) > 0, cut).otherwise(F.substring(audio, 1, 11)))
+    name = F.format_string("%08d.%s", "doc_id", F.array(*map(F.lit, ("dsc", "png", "bin", "bw", "bw", "txt")))[turn])
+    return table("documents").select(name.alias("path"), content.when(turn == 4, audio).otherwise(F.concat(F.lit(b"no "), text)).alias("content"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::INT END AS entry, doc_id % 2 = 1 AS failed FROM documents")
+def project_errors(table):
+    """Projects of which every second has a number out of range: each fails alone."""
+    index = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.lit(99999999999))
+    text = F.concat(F.lit("# BGI_HAZUKI_DSC_TEXT_V1\n\n[ENTRY]\nid="), index.cast("string"), F.lit("\nsrc=a\n"))
+    rows = projects.parse(table("documents").select(F.col("doc_id").cast("string").alias("script"), F.encode(text, "UTF-8").alias("content")))
+    return rows.select(F.col("script").cast("long").alias("doc_id"), F.col("index").alias("entry"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 END AS entry, doc_id % 2 = 1 AS failed FROM documents")
+def script_errors(table):
+    """Scripts of which every second is damaged: each fails alone."""
+
+    def run(batches):
+        for pdf in batches:
+            made = [fixtures.write_script("1.00", [b"text"], ["name"]) if d % 2 == 0 else b"DSC FORMAT 1.00\0 too short" for d in pdf["doc_id"]]
+            yield pd.DataFrame({"script": pdf["doc_id"].astype(str), "content": made})
+
+    rows = script.entries(table("documents").select("doc_id").mapInPandas(run, "script string, content binary"))
+    return rows.select(F.col("script").cast("long").alias("doc_id"), F.col("index").alias("entry"), F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT doc_id, text, strlen(text)::INT AS size FROM documents")
 def audio_payload(table):
     """The payload of audio containers, in column functions alone."""

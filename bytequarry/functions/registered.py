@@ -2,7 +2,8 @@
 
 After register(spark): dsc_decode, dsc_encode, image_decode, image_encode, codepage_decode and
 codepage_encode are functions; archive_entries, script_slots and project_entries are table functions
-(`FROM t, LATERAL archive_entries(t.content)`). Codecs give a struct with an error; null gives null.
+(`FROM t, LATERAL archive_entries(t.content)`). Codecs give a struct with an error, table functions a row
+with one; null gives null, or no row.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.functions import codepage, dsc, image
+from bytequarry.functions.binary import FILE_ERRORS
 from bytequarry.operators.archive import read_directory
 from bytequarry.operators.script import layout, split_slots
 from bytequarry.sources.projects import parse_text
@@ -24,7 +26,7 @@ def _bytes_codec(fn):
         for x in values:
             try:
                 rows.append((None if x is None else fn(bytes(x)), None))
-            except ValueError as e:
+            except FILE_ERRORS as e:
                 rows.append((None, str(e)))
         return pd.DataFrame(rows, columns=["value", "error"])
 
@@ -41,7 +43,7 @@ def _image_decode():
             try:
                 i = None if x is None else image.decode(bytes(x))
                 rows.append([None] * 5 if i is None else [i.width, i.height, i.has_alpha, i.pixels, None])
-            except ValueError as e:
+            except FILE_ERRORS as e:
                 rows.append([None, None, None, None, str(e)])
         return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype="Int32" if k < 2 else object) for k, n in enumerate(names)})
 
@@ -56,7 +58,7 @@ def _image_encode():
             try:
                 whole = p is not None and not pd.isna(w) and not pd.isna(h)
                 rows.append((image.encode(image.Image(int(w), int(h), image.has_alpha(bytes(p)), bytes(p))) if whole else None, None))
-            except ValueError as e:
+            except FILE_ERRORS as e:
                 rows.append((None, str(e)))
         return pd.DataFrame(rows, columns=["value", "error"])
 
@@ -71,25 +73,30 @@ def _codepage_decode():
     return run
 
 
+def _rows(content: bytes | None, read, width: int):
+    """read(content) with a null error on each row; nulls and the error where it fails."""
+    if content is not None:
+        try:
+            for row in read(bytes(content)):
+                yield *row, None
+        except FILE_ERRORS as e:
+            yield *[None] * width, str(e)
+
+
 class ArchiveEntries:
     def eval(self, content: bytes):
-        if content is not None:
-            for i, (name, offset, size) in enumerate(read_directory(bytes(content))):
-                yield i, name, offset, size
+        yield from _rows(content, lambda data: [(i, *e) for i, e in enumerate(read_directory(data))], 4)
 
 
 class ScriptSlots:
     def eval(self, content: bytes):
-        if content is not None:
-            for i, (offset, data) in enumerate(split_slots(layout(bytes(content))[4])):
-                yield i, offset, data
+        yield from _rows(content, lambda data: [(i, *x) for i, x in enumerate(split_slots(layout(data)[4]))], 3)
 
 
 class ProjectEntries:
     def eval(self, content: bytes):
-        if content is not None:
-            for e in parse_text(bytes(content).decode("utf-8"))[1]:
-                yield e["index"], e["text_offset"], e["kind"], e["comment"], e["code_offsets"], e["original_text"], e["translation_text"]
+        fields = ("index", "text_offset", "kind", "comment", "code_offsets", "original_text", "translation_text")
+        yield from _rows(content, lambda data: [tuple(e[f] for f in fields) for e in parse_text(data.decode("utf-8"))[1]], len(fields))
 
 
 def register(spark: SparkSession) -> None:
@@ -99,9 +106,9 @@ def register(spark: SparkSession) -> None:
         "codepage_decode": _codepage_decode(), "codepage_encode": codepage.encoder(),
     }
     tables = {
-        "archive_entries": (ArchiveEntries, "entry_index int, name string, offset long, size long"),
-        "script_slots": (ScriptSlots, "slot_no int, slot_offset long, bytes binary"),
-        "project_entries": (ProjectEntries, "index int, text_offset long, kind string, comment string, code_offsets array<bigint>, original_text string, translation_text string"),
+        "archive_entries": (ArchiveEntries, "entry_index int, name string, offset long, size long, error string"),
+        "script_slots": (ScriptSlots, "slot_no int, slot_offset long, bytes binary, error string"),
+        "project_entries": (ProjectEntries, "index int, text_offset long, kind string, comment string, code_offsets array<bigint>, original_text string, translation_text string, error string"),
     }
     for name, fn in functions.items():
         spark.udf.register(name, fn)

@@ -73,13 +73,15 @@ def unique_names(archives: DataFrame, path: str = "path") -> DataFrame:
     """archives with output_dir: the stem of each path, `stem_2`, `stem_3` ... in path order where it is taken.
 
     A generated name may itself be a later archive's stem. Only stems that are equal without their
-    `_number` endings can meet, so each such family is named by itself, in path order; families
-    whose stems all differ, or that hold no numbered stem, are named by a window alone.
+    `_number` endings can meet, and only where a stem repeats are names generated, so a family of several
+    stems, one of which repeats, is named by itself, in path order; all others, such as data_1 to data_n
+    of any size, are named by windows alone.
     """
     stem = F.regexp_replace(F.regexp_replace(F.col(path), r"^.*[/\\]", ""), r"\.[^.]*$", "")
     rows = archives.withColumn("stem", F.when(stem == "", "archive").otherwise(stem)).withColumn("family", F.regexp_replace("stem", r"(_\d+)+$", ""))
     family = Window.partitionBy("family")
-    rows = rows.withColumn("mixed", F.min("stem").over(family) != F.max("stem").over(family))
+    rows = rows.withColumn("again", F.count("*").over(Window.partitionBy("stem")))
+    rows = rows.withColumn("mixed", (F.min("stem").over(family) != F.max("stem").over(family)) & (F.max("again").over(family) > 1)).drop("again")
     rank = F.row_number().over(Window.partitionBy("stem").orderBy(path))
     plain = rows.where(~F.col("mixed")).withColumn("output_dir", F.when(rank == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", rank)))
     schema = rows.withColumn("output_dir", F.lit("")).schema

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions import codepage, dsc
+from bytequarry.functions.binary import FILE_ERRORS
 from bytequarry.functions.formats import CODE_END, COMMENT, DISTANCE, FILE_OPCODE, FUNCTION, RANK, SCRIPT_MAGIC, STRING_OPCODE
 
 KIND_ORDER = ("name", "text", "ruby_kanji", "ruby_furigana", "backlog")
@@ -50,14 +51,19 @@ def split_slots(text: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-def _table(scripts: DataFrame, rows_of: Callable[[bytes], list[tuple]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
+def _table(scripts: DataFrame, rows_of: Callable[[bytes], list[tuple]], schema: str, kinds: list[pa.DataType], bad: Callable[[str], list[tuple]] = lambda _: []) -> DataFrame:
+    """rows_of every script; of one that cannot be read, the rows that `bad` gives for its error."""
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for script, content in zip(batch.column("script").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows += [(script, *r) for r in rows_of(content or b"")]
+                try:
+                    found = rows_of(content or b"")
+                except FILE_ERRORS as e:
+                    found = bad(str(e))
+                rows += [(script, *r) for r in found]
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), *kinds], strict=True)], names)
                     rows = []
@@ -68,7 +74,7 @@ def _table(scripts: DataFrame, rows_of: Callable[[bytes], list[tuple]], schema:
 
 
 def words(scripts: DataFrame) -> DataFrame:
-    """script, version, code_len, word_no, value: the whole 32-bit words of each script's code."""
+    """script, version, code_len, word_no, value: the whole 32-bit words of each script's code; none of one that cannot be read."""
 
     def rows(content: bytes) -> list[tuple]:
         _, version, _, code, _ = layout(content)
@@ -77,8 +83,18 @@ def words(scripts: DataFrame) -> DataFrame:
     return _table(scripts, rows, "script string, version string, code_len long, word_no int, value long", [pa.string(), pa.int64(), pa.int32(), pa.int64()])
 
 
+def unreadable(scripts: DataFrame) -> DataFrame:
+    """script, error of every script that cannot be read."""
+
+    def rows(content: bytes) -> list[tuple]:
+        layout(content)
+        return []
+
+    return _table(scripts, rows, "script string, error string", [pa.string()], lambda error: [(error,)])
+
+
 def slots(scripts: DataFrame) -> DataFrame:
-    """script, slot_no, slot_offset, bytes."""
+    """script, slot_no, slot_offset, bytes; a script that cannot be read has none."""
 
     def rows(content: bytes) -> list[tuple]:
         return [(i, o, b) for i, (o, b) in enumerate(split_slots(layout(content)[4]))]
@@ -131,9 +147,13 @@ def merged(refs: DataFrame, page: int = 932) -> DataFrame:
     return rows.select("script", index.alias("index"), "text_offset", F.col("b.kind").alias("kind"), F.col("b.comment").alias("comment"), "code_offsets", codepage.decoded("bytes", page).alias("original_text"))
 
 
-def entries(scripts: DataFrame, page: int = 932) -> DataFrame:
-    """merged(references()) of scripts."""
-    return merged(references(words(scripts), slots(scripts), page), page)
+def entries(scripts: DataFrame, page: int = 932, fail_fast: bool = False) -> DataFrame:
+    """merged(references()) of scripts, with error: a script that cannot be read is one row of its error and nulls; with fail_fast it fails the query."""
+    found = merged(references(words(scripts), slots(scripts), page), page).withColumn("error", F.lit(None).cast("string"))
+    bad = unreadable(scripts)
+    error = F.raise_error(F.col("error")).cast("string") if fail_fast else F.col("error")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in ("script", "error")]
+    return found.unionByName(bad.select("script", *nulls, error.alias("error")))
 
 
 def relocated(text_slots: DataFrame, new_bytes: DataFrame) -> DataFrame:
@@ -192,7 +212,7 @@ def apply_project(scripts: DataFrame, project_entries: DataFrame, page: int = 0)
                 if error is None:
                     try:
                         out = rebuild(content, {x["text_offset"]: x["new"] for x in new or []})
-                    except ValueError as e:
+                    except FILE_ERRORS as e:
                         error = str(e)
                 rows.append((script, out, error))
             if rows:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytequarry.functions import dsc, image
-from bytequarry.functions.binary import le_u32_bytes
+from bytequarry.functions.binary import encrypt, le_u32_bytes
 from bytequarry.functions.formats import ARCHIVE_ENTRY, ARCHIVE_MAGIC, ARCHIVE_NAME, AUDIO_MAGIC, CODE_END, FILE_OPCODE, FUNCTION, SCRIPT_MAGIC, STRING_OPCODE
 
 #: Entries of an archive, so that no archive grows with the table.
@@ -97,20 +97,22 @@ def archives(docs: DataFrame, mixed: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "arc_path string, content binary")
 
 
-def ascii_only(text: Column | str) -> Column:
-    return ~(F.col(text) if isinstance(text, str) else text).rlike("[^\\x00-\\x7F]")
+def plain(text: str | None) -> str:
+    """A text with `{XXXX}` for each character that is not ASCII, so that any code page has it."""
+    text = text or ""
+    return text if text.isascii() else "".join(c if ord(c) < 128 else f"{{{ord(c):04X}}}" for c in text)
 
 
 def scripts(conversations: DataFrame, packed: bool = False) -> DataFrame:
-    """script, version, content: a script a conversation of ASCII turns, a text a turn; odd ones are version 1.00."""
-    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"), F.bool_and(ascii_only("text")).alias("plain")).where("plain")
+    """script, version, content: a script a conversation, a text a turn (see plain); odd ones are version 1.00."""
+    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
                 version = "1.00" if conv % 2 else "0.00"
-                content = write_script(version, [t["text"].encode() for t in turns])
+                content = write_script(version, [plain(t["text"]).encode() for t in turns])
                 out.append((f"conv_{conv:06d}", version, dsc.encode(content) if packed else content))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["script", "version", "content"])
@@ -123,6 +125,74 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("samples"))
 
 
+def tree_codes(tree: image.WeightTree) -> dict[int, str]:
+    """The bits of each symbol of a version 2 code."""
+    out, open_ = {}, [(tree.root, "")]
+    while open_:
+        node, bits = open_.pop()
+        if node in tree.children:
+            open_ += [(child, bits + side) for side, child in zip("01", tree.children[node], strict=True) if child >= 0]
+        else:
+            out[node] = bits
+    return out
+
+
+def write_image_2(width: int, strips: list[list[dict[int, int]]], quantisers: bytes, alpha: bytes = b"") -> bytes:
+    """A version 2 image of whole strips of 8 rows; a block is {place in zigzag order: value}, all of luma first, then both chromas."""
+    weights = [1] * 16, [1] * 176
+    first, later = (tree_codes(image.WeightTree(w)) for w in weights)
+    bits_of = lambda v: (abs(v).bit_length(), "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}")
+    whole = lambda text: int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big") if text else b""
+    bodies = []
+    for blocks in strips:
+        head, tail, level = "", "", 0
+        for block in blocks:
+            size, bits = bits_of(block.get(0, 0) - level)
+            level = block.get(0, 0)
+            head += first[size] + bits
+            at = 0
+            for place in sorted(k for k in block if k and block[k]):
+                size, bits = bits_of(block[place])
+                # a gap of 16 a time, then the zeros left before the value
+                gaps, zeros = divmod(place - at - 1, 16)
+                if zeros == 15 and not size:
+                    raise ValueError("a value of no bits")
+                tail += later[image.GAP] * gaps + later[size << 4 | zeros] + bits
+                at = place
+            if at < 63:
+                tail += later[image.BLOCK_END]
+        bodies.append(bytes((width // 8 + 7) // 8) + image.put_varint(64 * len(blocks)) + whole(head) + whole(tail))
+    clear = b"".join(image.put_varint(w) for row in weights for w in row)
+    start = len(clear) + 4 * (len(bodies) + 1)
+    offsets = [start + sum(map(len, bodies[:i])) for i in range(len(bodies) + 1)]
+    xor = 0
+    for b in quantisers:
+        xor ^= b
+    head = image.HEAD.pack(image.IMAGE_MAGIC, width, 8 * len(strips), 32 if alpha else 24, 0, 7, len(quantisers), sum(quantisers) & 255, xor, 2)
+    return head + encrypt(quantisers, 7) + clear + struct.pack(f"<{len(offsets)}i", *offsets) + b"".join(bodies) + alpha
+
+
+def wave_images(samples: DataFrame) -> DataFrame:
+    """vec_id, content: version 2 images of 16 x 8 pixels from the samples s.
+
+    The left block is grey s[0] with a wave of s[3] % 41 - 20 (quantiser 3) along the rows, the right one
+    grey s[1]; alpha is s[2] everywhere.
+    """
+    quantisers = bytes([1, 3, *[1] * 62]) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.column("samples").to_pylist():
+                luma = [{0: 8 * (s[0] - 128), 1: s[3] % 41 - 20}, {0: 8 * (s[1] - 128)}]
+                # one sample, then a copy of 130 from the left neighbour
+                alpha = b"\1\0\0\0" + bytes([2, s[2]]) + struct.pack("<H", 63 | 127 << 9)
+                out.append(write_image_2(16, [[*luma, {}, {}, {}, {}]], quantisers, alpha))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "content"])
+
+    return samples.select("vec_id", "samples").mapInArrow(run, "vec_id long, content binary")
+
+
 def grey_images(samples: DataFrame) -> DataFrame:
     """vec_id, content: version 1 images of 8 x 8 grey pixels."""
 

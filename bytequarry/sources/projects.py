@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions.binary import escape, hex_offsets, unescape_text
+from bytequarry.functions.binary import FILE_ERRORS, escape, hex_offsets, unescape_text
 from bytequarry.functions.formats import PROJECT_MAGIC, RANK
 
 BLANK = " \t\r\n"
@@ -44,6 +44,14 @@ def script_text(script: str, container: str, found: list[dict], page: int = 932,
     return ("\ufeff" + "\n".join(out) + "\n").encode()
 
 
+def number(text: str, base: int = 10, most: int = 2**31 - 1) -> int:
+    """A number of a project's line, from 0 to `most`."""
+    value = int(text, base)
+    if not 0 <= value <= most:
+        raise ValueError(f"a number out of range: {text}")
+    return value
+
+
 def parse_text(text: str) -> tuple[dict, list[dict]]:
     """(header, entries) of a project's text.
 
@@ -65,20 +73,20 @@ def parse_text(text: str) -> tuple[dict, list[dict]]:
             if key == "container":
                 head[key] = value if value in ("dsc", "compiled") else "dsc"
             elif key in ("decode_cp", "encode_cp"):
-                head[key] = int(value)
+                head[key] = number(value)
         elif line == "[ENTRY]":
             entry = {"index": 0, "kind": "other", "text_offset": 0, "code_offsets": [], "comment": "", "original_text": "", "translation_text": ""}
             out.append(entry)
         elif entry is not None and "=" in line:
             key, _, value = line.partition("=")
             if key == "id":
-                entry["index"] = int(value)
+                entry["index"] = number(value)
             elif key == "kind":
                 entry["kind"] = value if value in RANK else "other"
             elif key == "text_offset":
-                entry["text_offset"] = int(value, 16)
+                entry["text_offset"] = number(value, 16, 2**32 - 1)
             elif key == "code_offsets":
-                entry["code_offsets"] = [int(x, 16) for x in value.split(",") if x.strip(BLANK)]
+                entry["code_offsets"] = [number(x, 16, 2**32 - 1) for x in value.split(",") if x.strip(BLANK)]
             elif key in ("comment", "src", "dst"):
                 entry[{"comment": "comment", "src": "original_text", "dst": "translation_text"}[key]] = unescape_text(value)
     return head, out
@@ -99,7 +107,7 @@ def parse(projects: DataFrame) -> DataFrame:
                 try:
                     head, found = parse_text((content or b"").decode("utf-8"))
                     rows += [(script, head["container"], head["decode_cp"], head["encode_cp"], i, *(e[f] for f in fields), None) for i, e in enumerate(found)]
-                except ValueError as e:
+                except FILE_ERRORS as e:
                     rows.append((script, *[None] * 11, str(e)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split(" ")[0] for c in _SCHEMA.split(", ")])

@@ -33,8 +33,8 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, want.fetchall())
 
 
-def test_query_without_sql(spark):
-    assert 0 < catalog.queries()["dsc_ratio"](spark, DATA).agg(F.max("ratio")).first()[0] < 1
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_guard_path(spark):
@@ -50,7 +50,7 @@ def test_unique_names_collide(spark):
 
 
 def test_unescape(spark):
-    cases = ["\\n", "\\\\n", "\\x", "\\", "a\\\\\\t", "", "plain"]
+    cases = ["a\ufdd0b", "\ufdd0\\\\", "\\\\\\\\n", "\n\\\r", "\\n", "\\\\n", "\\x", "\\", "a\\\\\\t", "", "plain"]
     df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", binary.unescape("t").alias("u"))
     assert [r.u for r in df.collect()] == [binary.unescape_text(c) for c in cases]
 
@@ -151,3 +151,74 @@ def test_registered_functions(spark):
     assert [(r.name, r["size"]) for r in spark.sql("SELECT e.name, e.size FROM files_of_test, LATERAL archive_entries(a) e ORDER BY 1").collect()] == [("a.txt", 2), ("b.txt", 0)]
     assert [bytes(r.bytes) for r in spark.sql("SELECT x.bytes FROM files_of_test, LATERAL script_slots(s) x ORDER BY slot_no").collect()] == [b"one", b"two"]
     assert spark.sql("SELECT count(*) AS n FROM (SELECT encode(concat('# BGI_HAZUKI_DSC_TEXT_V1', chr(10), '[ENTRY]', chr(10), 'src=x'), 'UTF-8') AS p), LATERAL project_entries(p)").first().n == 1
+
+
+def test_hot_family_of_names_needs_no_walk(spark):
+    rows = [(f"{i:04d}/data_{i}.arc",) for i in range(300)] + [("x/b.arc",), ("y/b.arc",), ("z/b_2.arc",)]
+    got = {r.path: r.output_dir for r in classify.unique_names(spark.createDataFrame(rows, "path string")).collect()}
+    assert all(got[p] == f"data_{i}" for i, (p,) in enumerate(rows[:300])) and [got[p] for (p,) in rows[300:]] == ["b", "b_2", "b_2_2"]
+
+
+def test_scan_takes_each_file_once(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "x.arc").write_bytes(fixtures.write_archive([]))
+    (tmp_path / "ab").mkdir()
+    (tmp_path / "ab" / "y.ARC").write_bytes(fixtures.write_archive([("n", b"1")]))
+    found = files.scan_archives(spark, *(str(tmp_path / p) for p in ("a", "a/b", "a/b/x.arc", "ab", "ab/", "gone")))
+    assert sorted(os.path.basename(r.arc_path) for r in found.collect()) == ["x.arc", "y.ARC"]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert files.scan(spark, str(tmp_path / "gone")).count() == 0
+    assert unpack.work(found).first().asDict() == {"archives": 2, "total_entries": 1, "total_bytes": 1, "total_work": 2}
+    assert unpack.summary(unpack.unpack(found), found).first().asDict() == {"archives": 2, "extracted": 1, "processed": 1, "converted": 0, "skipped": 1}
+
+
+def test_directory_source_keeps_bad_archives_apart(spark, tmp_path):
+    good = fixtures.write_archive([("a.txt", b"hello")])
+    for name, data in (("a.arc", good), ("b.arc", good[:60]), ("c.arc", b"no"), ("d.arc", good[:-1])):
+        (tmp_path / name).write_bytes(data)
+    spark.dataSource.register(files.ArchiveDirectory)
+    for path, each in ((str(tmp_path), 1), (f"file://{tmp_path}", 64)):
+        rows = spark.read.format("archive_directory").option("archivesPerTask", each).load(path).collect()
+        got = {os.path.basename(r.arc_path): (r.name, r.error) for r in rows}
+        assert got == {"a.arc": ("a.txt", None), "b.arc": (None, "the entry table passes the end"), "d.arc": (None, "entry 0 passes the end")}
+
+
+def test_files_in_a_folder(spark, tmp_path):
+    out = tmp_path / "out"
+    (out / "old").mkdir(parents=True)
+    (out / "old" / "x").write_bytes(b"gone before")
+    rows = [("a/b.txt", b"one"), ("../x", b"no"), ("a/b.txt", b"one"), (None, b"x"), ("c", None), ("d\\e", b"")]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    done = sorted(((r.path, r.bytes, r.error) for r in unpack.write_files(df, str(out)).collect()), key=str)
+    assert done == [("../x", None, "parent path"), ("a/b.txt", 3, None), ("a/b.txt", 3, None), ("d/e", 0, None)]
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("*") if p.is_file() and "_files" not in p.parts) == ["a/b.txt", "d/e"]
+    docs = spark.createDataFrame([(i, f"document {i}", "s") for i in range(12)], "doc_id long, text string, source string")
+    unpack.write_unpacked(fixtures.archives(docs, mixed=True), str(out))
+    names = {p.name for p in (out / "s-000000" / "text").iterdir()}
+    assert (out / "s-000000" / "text" / "doc_00000001.bin.ogg").read_bytes() == b"document 1"
+    assert "doc_00000000.bin" in names and "doc_00000003.bin.png" in names and "doc_00000003.bin" not in names and len(names) == 16
+
+
+def test_assets_by_kind(spark):
+    picture = image.Image(3, 2, False, bytes([1, 2, 3, 255]) * 6)
+    rows = [("x", image.encode(picture)), ("y", fixtures.write_script("1.00", [b"one"], ["name"])), ("z", fixtures.write_audio(b"sound")), ("w", b"text"), ("bad", fixtures.write_audio(b"sound", size=9)), ("n", None)]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    got = {r.path: r for r in tools.convert_assets(df, encode_page=936).collect()}
+    assert [(got[p].status, got[p].output_path) for p, _ in rows] == [("converted", "x.png"), ("converted", "y.hazuki.txt"), ("converted", "z.ogg"), ("skipped", None), ("error", None), ("skipped", None)]
+    assert png.load(got["x"].output) == picture and bytes(got["z"].output) == b"sound" and "# encode_cp=936" in got["y"].output.decode()
+    assert tools.counted(tools.convert_assets(df)).first().asDict() == {"converted": 3, "skipped": 2, "failed": 1}
+    assert {r.path: r.suggested_extension for r in tools.probe(df).collect()}["z"] == ".ogg"
+    with pytest.raises(Exception, match="passes the end"):
+        tools.convert_assets(df, fail_fast=True).collect()
+
+
+def test_scripts_in_error_stay_apart(spark):
+    good = fixtures.write_script("0.00", [b"one", b"two"], ["name", "text"])
+    df = spark.createDataFrame([("good", bytearray(good)), ("bad", bytearray(b"DSC FORMAT 1.00\0")), ("none", None)], "script string, content binary")
+    rows = {(r.script, r["index"]): r.error for r in script.entries(df).collect()}
+    assert rows == {("good", 1): None, ("good", 2): None, ("bad", None): "not a compressed script"}
+    with pytest.raises(Exception, match="not a compressed script"):
+        script.entries(df, fail_fast=True).collect()
+    registered.register(spark)
+    df.createOrReplaceTempView("scripts_in_error")
+    assert [r.error for r in spark.sql("SELECT x.error FROM scripts_in_error, LATERAL script_slots(content) x").collect()].count("not a compressed script") == 1
