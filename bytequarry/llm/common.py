@@ -14,28 +14,54 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that goes to a Python worker: whole texts, so far fewer than Spark's default.
 BATCH_ROWS = 1000
 
+#: Folders of the applications that wrote here, by application id.
+_folders: dict[str, str] = {}
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set, read by Spark's own reader (any file system).
 
-    A session that leaves Arrow's batch size at its default gets BATCH_ROWS, which bounds what a Python
-    worker holds of a table of whole texts; a size that the session sets itself stays.
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Let the session send at most BATCH_ROWS rows at once to a Python worker, unless it has a size of its own.
+
+    The queries and the pipeline call this, since it bounds what a worker holds of a table of whole texts;
+    the operators do not, and leave every setting of their caller's session alone.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set, read by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *used: list[str]) -> str:
+    """The name with as many underscores before it as it takes to clash with none of the columns in use."""
+    taken = {c.lower() for columns in used for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder that the session names in spark.checkpoint.dir.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a local session may leave that unset, and gets a temporary folder: executors on other machines would
+    not see one. What an application wrote goes when its driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/bytequarry/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
+        folder = f"{base.rstrip('/')}/bytequarry/{app}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _folders[app] = folder
+    return f"{_folders[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +72,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_file(path: str, mode: str):
+    """A file of the shared folder, whatever store it is in: "r" to read, "w" to write (its folder is made)."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    if mode == "r":
+        return store.open_input_file(at)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,13 +1,13 @@
 """Language ID by n-gram filters of language bitmasks.
 
 One Bloom filter holds the n-grams of all languages, bit-sliced: a slot is a mask with one bit a
-language, and the AND of an n-gram's slots tells at once every language that (maybe) has it. A
+language (as many words of 64 as the languages need), and the AND of an n-gram's slots tells at once every language that (maybe) has it. A
 document's hits of a language are corrected for the false positives that its share of set bits
 makes; the language with most hits left is predicted.
 
 Defined results: null or letterless text is `und` with score 0; ties go to the language with
 most labelled rows, then by name; without labelled rows everything is `und`; rows with a null or empty label are
-not learned from; repeated rows repeat; columns other than doc_id and text (and, to learn,
+not learned from; repeated rows repeat; a text of any length is read whole; columns other than doc_id and text (and, to learn,
 the label) are not read. Learning takes whole texts of a sample of about `fit_rows` rows a language,
 drawn by a hash of the id; the bound is a parameter, the predictions are for all rows.
 """
@@ -24,16 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import texts
+from bytequarry.llm.common import texts, unused
 
 #: Expected labelled rows a language to learn from.
 FIT_ROWS = 3000
 #: Characters of an n-gram, a space for each run of other characters included.
 GRAM = 4
-#: Slots of the filter (a mask of 64 bits each), and slots an n-gram sets.
+#: Slots of the filter (a mask of one word of 64 bits for each 64 languages), and slots an n-gram sets.
 SLOTS = 1 << 20
 PROBES = 2
-MAX_LANGUAGES = 64
 #: Characters handled at once.
 CHUNK = 1 << 21
 #: Share of a document's n-grams that its language must have for `keep` to take it.
@@ -88,13 +87,15 @@ def _slots(h: np.ndarray, slots: int, probes: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
+    """masks: words x slots; bit b % 64 of word b // 64 is the language b."""
+
     languages: list[str]
     masks: np.ndarray
     probes: int = PROBES
     gram: int = GRAM
 
     def false_rates(self) -> np.ndarray:
-        fill = np.array([np.count_nonzero(self.masks >> np.uint64(b) & np.uint64(1)) / len(self.masks) for b in range(len(self.languages))])
+        fill = np.array([np.count_nonzero(self.masks[b // 64] >> np.uint64(b % 64) & np.uint64(1)) / self.masks.shape[1] for b in range(len(self.languages))])
         return np.minimum(fill**self.probes, 0.99)
 
     def predict(self, batch_texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -104,11 +105,10 @@ class Model:
         rates = self.false_rates()
         for start, chunk in _chunks(batch_texts):
             h, owner, with_letters = grams(chunk, self.gram)
-            mask = None
-            for at in _slots(h, len(self.masks), self.probes):
-                mask = self.masks[at] if mask is None else mask & self.masks[at]
+            slots = _slots(h, self.masks.shape[1], self.probes)
+            found = [np.bitwise_and.reduce([word[at] for at in slots]) for word in self.masks]
             total = np.bincount(owner, minlength=len(chunk))
-            hits = np.stack([np.bincount(owner[(mask >> np.uint64(b) & np.uint64(1)).astype(bool)], minlength=len(chunk)) for b in range(len(self.languages))])
+            hits = np.stack([np.bincount(owner[(found[b // 64] >> np.uint64(b % 64) & np.uint64(1)).astype(bool)], minlength=len(chunk)) for b in range(len(self.languages))])
             share = np.clip((hits / np.maximum(total, 1) - rates[:, None]) / (1 - rates[:, None]), 0, 1)
             best = share.argmax(axis=0)
             for i in np.flatnonzero(with_letters):
@@ -119,16 +119,14 @@ class Model:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, slots: int = SLOTS, probes: int = PROBES, gram: int = GRAM, least_docs: int = 3) -> Model:
     """The filter of labelled (doc_id, text, lang); an n-gram counts for a language once least_docs sampled documents of it hold it."""
     labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.col("lang") != ""))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # a row a language
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
-        return Model([], np.zeros(1, np.uint64), probes, gram)
+        return Model([], np.zeros((0, 1), np.uint64), probes, gram)
     share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    wanted = F.lit(False)
-    for lang in languages:
-        wanted = wanted | ((F.col("lang") == lang) & (share < fit_rows / sizes[lang]))
+    shares = F.map_from_arrays(F.array(*map(F.lit, languages)), F.array(*[F.lit(float(fit_rows / sizes[x])) for x in languages]))
+    wanted = share < shares[F.col("lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {lang: i for i, lang in enumerate(languages)}
@@ -146,32 +144,32 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, slots: int = SLOTS, probe
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), b)), pa.array(n.astype(np.int64))], ["h", "b", "n"])
 
     counts = labelled.where(wanted).mapInArrow(run, "h long, b long, n long").groupBy("h", "b").agg(F.sum("n").alias("n"))
-    held = counts.where(F.col("n") >= least_docs).groupBy("h").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("mask"))
+    held = counts.where(F.col("n") >= least_docs).groupBy("h", F.floor(F.col("b") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = batch.column("mask")
             for at in _slots(batch.column("h").to_numpy().astype(np.int64).view(np.uint64), slots, probes):
-                yield pa.RecordBatch.from_arrays([pa.array(at), mask], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("word"), mask], ["slot", "word", "mask"])
 
-    # at most `slots` rows
-    table = held.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(slots, np.uint64)
-    masks[table.column("slot").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+    # at most `slots` rows for each 64 languages
+    table = held.mapInArrow(place, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((-(-len(languages) // 64), slots), np.uint64)
+    masks[table.column("word").to_numpy(), table.column("slot").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
     return Model(languages, masks, probes, gram)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (default: all) with the language and its score under two names."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = shared.value.predict(texts(batch))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double"
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -189,4 +187,5 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 def known(docs: DataFrame, least_score: float = LEAST_SCORE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs without the rows whose language is `und` or too uncertain; other columns and their values stay."""
     model = fit(docs.where(~held_out()), fit_rows)
-    return predict(docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns}), model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score").withColumnsRenamed({f"own_{c}": c for c in ("lang_pred", "score") if c in docs.columns}).select(docs.columns)
+    lang, score = unused("lang_pred", docs.columns), unused("score", docs.columns)
+    return predict(docs, model, names=(lang, score)).where((F.col(lang) != "und") & (F.col(score) >= least_score)).select(docs.columns)

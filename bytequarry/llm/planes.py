@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytequarry.llm.common import id_buckets, map_batches, partitions, scratch, texts, written
+from bytequarry.llm.common import id_buckets, map_batches, open_file, partitions, scratch, texts, written
 from bytequarry.llm.tokens import encoder, vocabulary
 
 MAGIC = b"BQPLANE1"
@@ -141,17 +141,6 @@ class ShardReader:
             yield None if null else doc_id, flat[:n]
 
 
-def _open(path: str, mode: str):
-    """A file of the shared folder, whatever store it is in."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    if mode == "r":
-        return store.open_input_file(at)
-    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(at)
-
-
 def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", words: bool = True, end_id: int | None = 1) -> DataFrame:
     """doc_id and ids (little-endian 32-bit, with the end id) of every text. tokenizer: a vocabulary file's name."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -178,7 +167,7 @@ def write(docs: DataFrame, encoded: DataFrame, bits: int = 8, chunk_ids: int = C
             for s, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids")), strict=True):
                 if out is None:
                     shard, path = s, f"{folder}/shard-{s:06d}-{uuid.uuid4().hex}.bqp"
-                    sink = _open(path, "w")
+                    sink = open_file(path, "w")
                     out = ShardWriter(sink, bits, chunk_ids)
                 elif s != shard:
                     raise RuntimeError("two shards in one task")
@@ -204,7 +193,7 @@ def read(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 rows, size = [], 0
-                with _open(path, "r") as source:
+                with open_file(path, "r") as source:
                     for doc_id, ids in ShardReader(source).documents():
                         data = ids.tobytes()
                         rows.append((doc_id, start, len(ids), zlib.crc32(data), *([data] if keep_ids else [])))

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm import bpe, langid, linededup, media, packing, planes, simhash, spotsigs, toxicity, urlcascade
-from bytequarry.llm.common import table
+from bytequarry.llm.common import bounded_batches
+from bytequarry.llm.common import table as read
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read(bounded_batches(spark), sf_dir, name)
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,8 @@ def op4_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    return linededup.drop(docs, linededup.settle(docs))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ of one length, block). A url's key universe is each of its host's suffixes of as
 rules have, with each path prefix as long as a rule's.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is
-allowed, as is any url that no rule fits. Repeated rows repeat. An empty table gives no rows. Other
-columns of the input are not read.
+allowed, as is any url that no rule fits. Urls of any length are taken whole. Repeated rows repeat. An empty
+table gives no rows. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm.common import written
 
-#: Bits of all levels together that may be broadcast (32 MB); beyond it, membership is a join.
-MAX_BITS = 1 << 28
-MAX_LEVELS = 64
+#: Levels after which only keys whose 128 bits of hash are equal could be left.
+MAX_LEVELS = 200
 
 #: The rules of the query: fixed values of its contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -90,26 +89,24 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def build(keys: DataFrame, rate: float = 0.02) -> Cascade | None:
-    """The cascade over keys (h long, g long, listed boolean), one row a key; None where it would outgrow MAX_BITS.
+def build(keys: DataFrame) -> Cascade:
+    """The cascade over keys (h long, g long, listed boolean), one row a key.
 
-    Each level is one pass over the keys that are still wrong: tasks set bits of their own, words are
-    merged by bit_or, and only the level's words come to the driver.
+    With l listed keys of u others, level 0 lets l / (sqrt(2) u) of the others pass, every later level half of
+    what should not: so all levels together take about l * (1.44 log2(u / l) + 5) bits, which follow the rule
+    list and hardly the corpus (52 bits a rule at 2**33 keys to a rule). Tasks set bits of their own, words are
+    merged by bit_or, and only the words of a level come to the driver. What passes a level, which after level 0
+    is about as many keys as are listed, is written, so that no level reads the whole universe again.
     """
     spark = keys.sparkSession
-    cascade, left, total = Cascade(), keys, 0
-    while True:
-        i = len(cascade.levels)
-        side = left.where(F.col("listed") == F.lit(i % 2 == 0))
-        n = side.count()
+    cascade, left = Cascade(), keys
+    for i in range(MAX_LEVELS):
+        sizes = {r["listed"]: r["n"] for r in left.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+        n, others = sizes.get(i % 2 == 0, 0), sizes.get(i % 2 == 1, 0)
         if n == 0:
             return cascade
-        if i == MAX_LEVELS:
-            raise ValueError("keys with equal hashes on both sides")
+        rate = min(0.5, max(n, 1) / (math.sqrt(2) * max(others, 1))) if i == 0 else 0.5
         bits, hashes = max(64, math.ceil(n * math.log2(1 / rate) / math.log(2))), max(1, round(math.log2(1 / rate)))
-        total += bits
-        if total > MAX_BITS:
-            return None
 
         def words(batches, i=i, bits=bits, hashes=hashes):
             for batch in batches:
@@ -119,7 +116,8 @@ def build(keys: DataFrame, rate: float = 0.02) -> Cascade | None:
                     value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start)
                     yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
 
-        found = side.select("h", "g").mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+        side = left.where(F.col("listed") == F.lit(i % 2 == 0)).select("h", "g")
+        found = side.mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
         level = Level(bits, hashes, np.zeros((bits + 63) // 64, np.uint64))
         level.words[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
         cascade.levels.append(level)
@@ -129,18 +127,20 @@ def build(keys: DataFrame, rate: float = 0.02) -> Cascade | None:
             for batch in batches:
                 yield batch.filter(pa.array(shared.value.holds(_unsigned(batch.column("h")), _unsigned(batch.column("g")), i)))
 
+        if others == 0:
+            return cascade
         # what the level encodes passes it, and so stays for the level after the next
-        left = left.mapInArrow(passing, "h long, g long, listed boolean")
+        left = written(left.mapInArrow(passing, "h long, g long, listed boolean"), f"url-level-{i}")
+    raise ValueError("keys with equal hashes on both sides")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every url.
 
-    rules: (host, path prefix, block or allow), at most 100,000 of them, since they come as a list.
+    rules: (host, path prefix, block or allow). They come as a list, which is what bounds the broadcast:
+    the filters made of them (see build) are smaller than the list itself.
     """
     spark = pages.sparkSession
-    if len(rules) > 100_000:
-        raise ValueError("give at most 100,000 rules")
     labels, lengths = max([r[0].count(".") + 1 for r in rules], default=0), sorted({len(r[1]) for r in rules})
     rows = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = F.split("host", r"\.")
@@ -153,8 +153,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     universe = universe.union(named.select("key", "block", ~F.col("block"))).groupBy("key").agg(F.max("b").alias("b"), F.max("a").alias("a"))
     universe = written(universe.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("g"), "b", "a"), "url-keys")
     block, allow = (build(universe.select("h", "g", F.col(c).alias("listed"))) for c in ("b", "a"))
-    if block is None or allow is None:
-        return _judge_by_join(rows, named, default)
     shared = spark.sparkContext.broadcast((block, allow))
 
     def run(batches):
@@ -179,17 +177,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     return hashed.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def _judge_by_join(rows: DataFrame, named: DataFrame, default: str) -> DataFrame:
-    """The same verdicts by a join with the rules, for lists whose filters are too large to broadcast."""
-    rules = named.groupBy("key").agg(F.max("block").alias("block"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
-    hits = rows.select("row", F.explode("keys").alias("key")).join(rules, "key").groupBy("row").agg(F.max(F.struct(F.char_length("key").alias("n"), "block", "key")).alias("m"))
-    return rows.join(hits, "row", "left").select(
-        "page_id", "host", "path", F.col("m.key").alias("rule"),
-        F.when(F.col("m").isNull(), default).when(F.col("m.block"), "block").otherwise("allow").alias("verdict"),
-    )
-
-
 ORACLE = """
 WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -82,19 +82,23 @@ def test_url_cascade(spark):
     assert {r.verdict for r in urlcascade.judge(pages, []).collect()} == {"allow"}
 
 
-def test_url_cascade_beyond_the_broadcast(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"http://h{i % 9}.example.net/{'en' if i % 2 else 'de'}/") for i in range(40)] + [(99, None)], "page_id long, url string")
-    want = pairs(urlcascade.judge(pages), "page_id", "rule", "verdict")
-    monkeypatch.setattr(urlcascade, "MAX_BITS", 1)
-    assert pairs(urlcascade.judge(pages), "page_id", "rule", "verdict") == want
+def test_url_cascade_beside_clashing_columns(spark):
+    urls = [(i, f"http://h{i % 9}.example.net/{'en' if i % 2 else 'de'}/" + "x" * (i * 5000)) for i in range(12)]
+    plain = spark.createDataFrame([*urls, (99, None)], "page_id long, url string")
+    extra = plain.select("*", *[F.lit("other").alias(c) for c in ("host", "path", "rule", "verdict", "keys", "key", "h", "g", "listed")])
+    want = pairs(urlcascade.judge(plain), "page_id", "host", "path", "rule", "verdict")
+    assert pairs(urlcascade.judge(extra), "page_id", "host", "path", "rule", "verdict") == want and len(want) == 13
 
 
 def test_cascade_is_exact(spark):
-    keys = spark.range(3000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"), (F.col("id") % 7 == 0).alias("listed"))
-    model = urlcascade.build(keys, rate=0.3)
-    rows = keys.toPandas()
-    assert len(model.levels) > 2
-    assert (model.listed(rows.h.to_numpy().view(np.uint64), rows.g.to_numpy().view(np.uint64)) == rows.listed.to_numpy()).all()
+    for listed in (F.col("id") % 7 == 0, F.col("id") < 2, F.col("id") >= 2, F.lit(True), F.lit(False)):
+        keys = spark.range(6000).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"), listed.alias("listed"))
+        model, rows = urlcascade.build(keys), keys.toPandas()
+        assert (model.listed(rows.h.to_numpy().view(np.uint64), rows.g.to_numpy().view(np.uint64)) == rows.listed.to_numpy()).all()
+        few, many = int(rows.listed.sum()), int((~rows.listed).sum())
+        if 0 < few < many:
+            # the filters follow the listed keys, not the universe
+            assert sum(x.bits for x in model.levels) <= few * (1.44 * np.log2(many / few) + 8) + 64 * len(model.levels)
 
 
 def test_language(spark, odd, none):
@@ -111,6 +115,15 @@ def test_language(spark, odd, none):
     assert kept.columns == extra.columns and kept.where("score = 'own' and lang_pred = 1").count() == kept.count() > 190
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(3)
+    words = {f"l{k:02d}": ["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 3)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang], 20)), lang) for i, lang in enumerate(sorted(words) * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.masks.shape == (2, langid.SLOTS) and model.predict([r[1] for r in rows])[0] == [r[2] for r in rows]
+
+
 def test_planes(spark, odd, none):
     rows = [r.asDict() for r in planes.read(planes.write(odd, planes.encode(odd), bits=1, chunk_ids=50), keep_ids=True).collect()]
     assert len(rows) == 9

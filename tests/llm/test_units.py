@@ -1,3 +1,4 @@
+import math
 import random
 import struct
 import zlib
@@ -215,7 +216,7 @@ def test_line_keys():
 
 
 def test_language_model():
-    masks = np.zeros(8, np.uint64)
+    masks = np.zeros((1, 8), np.uint64)
     assert langid.Model([], masks).predict(["text"])[0] == ["und"]
     model = langid.Model(["en"], ~masks)
     assert model.predict(["", "12 !", "a"])[0] == ["und", "und", "en"]
@@ -238,6 +239,55 @@ def test_toxicity_learning():
     assert toxicity.learn([]).score(["x"]).tolist() == [0.0]
 
 
+def test_ftrl_by_brute_force():
+    """The same updates, one weight at a time in plain numbers, give the same weights."""
+    rng = random.Random(4)
+    rows = [(np.array(sorted(rng.sample(range(1, 40), 6)), np.uint32), int(rng.random() < 0.4)) for _ in range(60)]
+    alpha, beta, l1, l2, weight = 0.7, 1.0, 0.6, 0.2, 2.0
+    model = toxicity.learn(rows, alpha, beta, l1, l2, epochs=3, least_docs=2, weight=weight)
+    z, n = {}, {}
+
+    def value(k):
+        shrink = 0.0 if k == "bias" else l1
+        if abs(z.get(k, 0.0)) <= shrink:
+            return 0.0
+        return -(z[k] - math.copysign(shrink, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for f, y in rows:
+            keys = [*f.tolist(), "bias"]
+            w = {k: value(k) for k in keys}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (weight if y else 1.0)
+            for k in keys:
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {k: value(k) for k in z if k != "bias" and value(k)}
+    assert model.keys.tolist() == sorted(want) and 0 < len(want) < 39
+    assert np.allclose(model.weights, [want[k] for k in sorted(want)], atol=1e-9) and abs(model.bias - value("bias")) < 1e-9
+
+
+def test_a_model_that_would_be_too_large_gets_sparser(monkeypatch):
+    rng = random.Random(4)
+    rows = [(np.array(sorted(rng.sample(range(1, 400), 60)), np.uint32), i % 2) for i in range(80)]
+    assert len(toxicity.learn(rows, l1=0.01).keys) > 50
+    monkeypatch.setattr(toxicity, "MAX_WEIGHTS", 50)
+    assert 0 < len(toxicity.learn(rows, l1=0.01).keys) <= 50
+
+
+def test_features_by_hand():
+    import xxhash
+
+    def words(text):
+        return [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+
+    f, owner = toxicity.features(["Idiotic, cat", "", "cat"])
+    want = {w >> 32 for w in words("idiotic cat")} | {xxhash.xxh3_64_intdigest("stem idiot") >> 32}
+    mine = set(f[owner == 0].tolist())
+    assert want < mine and len(mine) == 4 and f[owner == 2].tolist() == [words("cat")[0] >> 32] and not (owner == 1).any()
+    # five words: each, a stem, 4 pairs, 3 triples, 3 pairs with one word between
+    assert len(set(toxicity.features(["aa bb cc dd eeeeee"])[0].tolist())) == 5 + 1 + 4 + 3 + 3
+
+
 def test_cascade_levels():
     h = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     empty = urlcascade.Cascade()
