@@ -83,6 +83,28 @@ def open_file(path: str, mode: str):
     return store.open_output_stream(at)
 
 
+def put_file(path: str, data) -> None:
+    """Write a whole file under a name of the attempt's own and move it; an earlier attempt's file of the same content stays."""
+    from pyarrow import fs
+
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open_file(part, "w") as out:
+        out.write(data)
+    store, at = fs.FileSystem.from_uri(path)
+    _, part = fs.FileSystem.from_uri(part)
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        store.move(part, at)
+    else:
+        store.delete_file(part)
+
+
+def remove_folder(path: str) -> None:
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    store.delete_dir(at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -136,7 +136,7 @@ def test_planes(spark, odd, none):
     assert planes.read(planes.write(none, planes.encode(none))).count() == 0
 
 
-@pytest.mark.parametrize("limit", [linededup.BROADCAST_LIMIT, 0])
+@pytest.mark.parametrize("limit", [linededup.BROADCAST_LIMIT, 1, 0])
 def test_line_dedup(spark, odd, none, limit):
     docs = spark.createDataFrame([(i, f" SHARED \t\nown {i}\n\nfour" + ("\nfour" if i < 2 else "")) for i in range(10)] + [(20, None), (21, "shared"), (22, "other"), (22, "other")], "doc_id long, text string")
     settled = linededup.settle(docs, min_docs=10)
@@ -150,12 +150,34 @@ def test_line_dedup(spark, odd, none, limit):
     assert linededup.dedup(none).count() == 0
 
 
-def test_line_store_levels(spark):
-    store = linededup.LineStore(spark, enough=3, fan=2)
-    for batch in ([(1, 1), (1, 1), (2, 2)], [(1, 1), (3, 3)], [(1, 1), (2, 2)], [(2, 2), (2, 2)]):
-        store.add(spark.createDataFrame(batch, "hi long, lo long"))
-    assert sorted(r.hi for r in store.settled().collect()) == [1, 2]
-    assert [len(level) for level in store.levels] == [0, 0, 1]
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["__gone", "__row", "__lines", "gone", "row", "n_lines", "N_Dropped", "hi", "lo", "docs", "batch"]
+    docs = spark.createDataFrame([(i, "shared\nown", *names) for i in range(12)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for limit in (100, 1, 0):
+        left = linededup.drop(docs, linededup.settle(docs), full=True, limit=limit)
+        assert left.columns[: len(docs.columns)] == docs.columns and left.select(*names).distinct().collect() == [tuple(names)]
+        assert left.select("text", left.columns[-1]).distinct().collect() == [("", 2)]
+    assert linededup.dedup(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("bits,fan", [(0, 2), (2, 2), (3, 3)])
+def test_line_store_levels(spark, bits, fan):
+    """Runs are merged level by level; what is settled is what a plain count says; only a batch's own rows are exchanged."""
+    rng = np.random.default_rng(8)
+    store, counts = linededup.LineStore(spark, 5, bits, fan), {}
+    for n in range(5):
+        rows = [(int(h), int(l), int(d)) for h, l, d in zip(rng.choice([-(2**63), -(2**62), -1, 0, 1, 2**62, 2**63 - 1], 60), rng.integers(-3, 3, 60), rng.integers(1, 3, 60))]
+        for h, l, d in rows:
+            counts[h, l] = counts.get((h, l), 0) + d
+        store.add(spark.createDataFrame(rows, "hi long, lo long, docs long"))
+        assert sum(map(len, store.levels)) == sum(int(x) for x in np.base_repr(n + 1, fan))
+        plan = store.plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+        got = {(r.hi, r.lo): r.docs for r in store.settled().collect()}
+        assert got == {k: d for k, d in counts.items() if d >= 5}
+    assert "Exchange" not in store.settled()._jdf.queryExecution().executedPlan().toString()
+    store.add(spark.createDataFrame([], "hi long, lo long, docs long"))
+    assert {(r.hi, r.lo): r.docs for r in store.settled().collect()} == got
 
 
 def test_packing(spark, odd, none):
