@@ -130,20 +130,35 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary() if batch.schema.field(name).type == pa.string() else pa.large_binary()).to_pylist()]
 
 
-def id_buckets(df: DataFrame, n: int, id_col: str = "doc_id") -> tuple[Column, int]:
-    """The bucket (0 to count-1, ascending with the id) of each row's id, and the count of buckets.
+def id_buckets(df: DataFrame, n: int, id_col: str = "doc_id", tie: str | None = None) -> tuple[Column, int]:
+    """The bucket (0 to count-1, ascending with the id, null first) of each row, and the count of buckets.
 
-    Bounds are quantiles of the ids, so buckets hold about as many rows each; null ids are in bucket 0.
-    Only the bounds, at most n - 1 of them, come to the driver.
+    Bounds are quantiles of the ids, so buckets hold about as many rows each. An id that holds more than a
+    bucket's share of the rows, or null, has several buckets if `tie` names a column of evenly spread 64-bit
+    hashes: they ascend with it. Only the bounds, at most n - 1 of them, come to the driver.
     """
     at = F.col(id_col)
-    found = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("b")).first()["b"]
-    bounds = sorted(set(found or [])) if n > 1 else []
-    if not bounds:
-        return F.lit(0), 1
-    steps, edges = [1 << k for k in reversed(range(len(bounds).bit_length()))], F.lit(bounds)
-    found = F.aggregate(
-        F.array(*[F.lit(x) for x in steps]), F.lit(0),
-        lambda low, step: F.when((low + step <= len(bounds)) & (F.get(edges, low + step - 1) <= at), low + step).otherwise(low),
-    )
-    return F.when(at.isNull(), 0).otherwise(found), len(bounds) + 1
+    found = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("b"), F.count("*").alias("n"), F.count(id_col).alias("ids")).first()
+    bounds = (found["b"] or []) if n > 1 else []
+    edges = sorted(set(bounds))
+    # so many buckets for null, for the ids below the first edge (1), and for those from each edge on
+    nulls = max(1, round(n * (found["n"] - found["ids"]) / max(found["n"], 1))) if tie and found["n"] > found["ids"] else 0
+    each = [len([b for b in bounds if b == e]) if tie else 1 for e in edges]
+    first = [nulls + 1 + sum(each[:i]) for i in range(len(edges))]
+    count = nulls + 1 + sum(each)
+
+    def part(of: Column | int) -> Column:
+        """Which of so many equal parts of the hashes' range a row's tie is in."""
+        share = (F.col(tie).cast("double") + 2.0**63) / 2.0**64 if tie else F.lit(0.0)
+        return F.least(F.floor(share * of), F.lit(of) - 1 if isinstance(of, int) else of - 1).cast("int")
+
+    bucket = F.lit(nulls)
+    if edges:
+        steps, values = [1 << k for k in reversed(range(len(edges).bit_length()))], F.lit(edges)
+        k = F.aggregate(
+            F.array(*[F.lit(x) for x in steps]), F.lit(0),
+            lambda low, step: F.when((low + step <= len(edges)) & (F.get(values, low + step - 1) <= at), low + step).otherwise(low),
+        )
+        own = F.transform(F.array(k), lambda k: F.when(k == 0, nulls).otherwise(F.get(F.lit(first), k - 1) + F.when(at == F.get(values, k - 1), part(F.greatest(F.lit(1), F.get(F.lit(each), k - 1) - 1))).otherwise(F.get(F.lit(each), k - 1) - 1)))
+        bucket = own[0]
+    return F.when(at.isNull(), part(nulls) if nulls else 0).otherwise(bucket).cast("int"), count

@@ -1,21 +1,24 @@
 """Document fingerprints by SpotSigs, in DataFrame functions only.
 
-A spot signature starts at a common word (the anchor) and hashes the chain of content words that
-follows it, anchors skipped. A document's fingerprint is its set of signatures. Two fingerprints
-are compared by the Jaccard measure of the sets; sets whose lengths alone rule out the threshold are
-never compared.
-
-Defined results: null text counts as empty. The text's first content word starts a chain too, so
-short texts have signatures; so does each content word whose hash divides by 8, so that tables and
-lists, which hold no common words, are covered as well. A chain near the end of a text may be shorter. A text without content
-words has one signature, the hash of the whole text, so equal texts always have equal fingerprints.
-Repeated rows give repeated results; rows with equal doc_id are ordered by text; a null doc_id comes
-first; the neighbour of a lone document is itself. Other columns of the input are not read.
+A spot signature starts at an anchor and hashes the chain of content words that follows it, anchors
+skipped. Anchors are common words; a text's start, a line's end, a cell's border and punctuation that ends
+a sentence or clause are anchors too, so that tables and lists have spots. A document's fingerprint is its set
+of signatures. Two fingerprints are compared by the Jaccard measure of the sets, for a threshold through pruning:
+sets fall in partitions by their length, in steps of the threshold, so that sets more than a partition apart are
+never compared; nor are sets whose prefixes, the least signatures that a set of that length must
+share one of, have none in common.
+
+Defined results: null text counts as empty; texts of any length are read whole. A chain near the end of a text
+may be shorter. A text without content words has one signature, the hash of the whole text, so equal
+texts always have equal fingerprints. Repeated rows give repeated results; rows with equal doc_id are
+ordered by a hash of their text, then by the text; a null doc_id comes first; the neighbour of a lone document
+is itself; an empty table gives no rows. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +34,13 @@ al con del el ella es las lo los más no para por se su sus una y
 """.split()
 
 MARK = "\u0001"
+#: Characters that end a line, a cell, a sentence or a clause.
+BORDERS = "\n|.!?;:"
 CHAIN = 3
+#: Similarity from which two fingerprints are near.
+THRESHOLD = 0.8
+#: Classes that share a signature in one partition from which they are split by a second one.
+LARGEST = 1000
 
 
 def _alternation(words: list[str]) -> str:
@@ -42,28 +51,23 @@ def _alternation(words: list[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(sorted(rest, key=lambda x: (-len(x), x)))})" for first, rest in sorted(by_first.items()))
 
 
-def signatures(text: Column | str, chain: int = CHAIN, distance: int = 1) -> Column:
-    """The sorted set of a text's spot signatures, array<bigint> of 32-bit values.
-
-    chain: content words of a signature; distance: of how many content words one is taken.
-    """
+def signatures(text: Column | str, chain: int = CHAIN) -> Column:
+    """The sorted set of a text's spot signatures, array<bigint> of 32-bit values; chain: content words of a signature."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    # no group is repeated in the expression: Java would recurse as often as it repeats
-    marked = F.replace(F.regexp_replace(spaced, f"(?<= )(?:{_alternation(ANCHORS)})(?= )", MARK), F.lit(MARK + " "), F.lit(MARK))
-    marked = F.regexp_replace(marked, f"{MARK}+", MARK)
-    words = F.split(F.concat(F.lit(MARK), F.ltrim(F.rtrim(marked, F.lit(MARK + " ")))), " ")
-    return F.transform(F.array(words), lambda w: _set_of(w, text, chain, distance))[0]
-
-
-def _set_of(words: Column, text: Column, chain: int, distance: int) -> Column:
-    """words is a lambda's variable, so the regular expressions run once a text."""
-    spots = F.transform(
-        words,
-        lambda word, i: F.when(word.startswith(MARK) | (F.pmod(F.xxhash64(word), F.lit(8)) == 0), F.xxhash64(word, *[F.get(words, i + k * distance) for k in range(1, chain)])),
-    )
+    # no group is repeated in the expressions: Java would recurse as often as it repeats
+    plain = F.regexp_replace(F.translate(F.lower(text), BORDERS, MARK * len(BORDERS)), f"[^\\p{{L}}\\p{{N}}{MARK}]+", " ")
+    spaced = F.concat(F.lit(MARK + " "), F.replace(plain, F.lit(MARK), F.lit(f" {MARK} ")), F.lit(" "))
+    marked = F.regexp_replace(spaced, f"(?<= )(?:{_alternation(ANCHORS)})(?= )", MARK)
+    # each word after an anchor carries one mark, whatever stood between
+    words = F.split(F.trim(F.rtrim(F.regexp_replace(marked, f" *{MARK}[ {MARK}]*", f" {MARK}"), F.lit(MARK + " "))), " +")
+    # lambdas' variables, so that the regular expressions run once a text
+    return F.transform(F.array(words), lambda w: F.transform(F.array(F.transform(w, lambda x: F.ltrim(x, F.lit(MARK)))), lambda bare: _set_of(w, bare, text, chain))[0])[0]
+
+
+def _set_of(words: Column, bare: Column, text: Column, chain: int) -> Column:
+    spots = F.transform(words, lambda word, i: F.when(word.startswith(MARK), F.xxhash64(*[F.get(bare, i + k) for k in range(chain)])))
     found = F.array_sort(F.array_distinct(F.transform(F.filter(spots, lambda x: x.isNotNull()), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.when((F.size(words) == 1) & (words[0] == MARK), F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(found)
+    return F.when((F.size(words) == 1) & (bare[0] == ""), F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(found)
 
 
 def fingerprint(sigs: Column | str) -> Column:
@@ -72,84 +76,110 @@ def fingerprint(sigs: Column | str) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def likeness(a: Column | str, b: Column | str, threshold: float = 0.0) -> Column:
-    """Jaccard of two signature sets; 0 without comparing where the lengths rule out the threshold."""
+def likeness(a: Column | str, b: Column | str) -> Column:
+    """Jaccard of two signature sets, 0 where one is null."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b))
-    value = both / (F.size(a) + F.size(b) - both)
-    if threshold <= 0:
-        return F.coalesce(value, F.lit(0.0))
-    return F.when(least < threshold * most, 0.0).otherwise(F.when(value >= threshold, value).otherwise(0.0))
+    return F.coalesce(both / (F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
-def near_pairs(df: DataFrame, id_col: str = "doc_id", sigs: str = "sigs", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def partition_of(sigs: Column | str, threshold: float = THRESHOLD) -> Column:
+    """The partition of a set by its length: sets that are near are in the same one or in neighbours."""
+    return F.floor(F.log(F.size(sigs)) / math.log(1 / threshold) + 1e-9).cast("int")
+
+
+def prefix_of(sigs: Column | str, threshold: float = THRESHOLD, more: int = 0) -> Column:
+    """The least signatures of a set, of which two sets that are near share one (with `more`: so many and one)."""
+    sigs = F.col(sigs) if isinstance(sigs, str) else sigs
+    n = F.size(sigs)
+    return F.slice(sigs, 1, F.least(n, n - F.ceil(n * threshold - 1e-9).cast("int") + 1 + more))
+
+
+def near(a: Column | str, b: Column | str, threshold: float = THRESHOLD) -> Column:
+    """Whether two sets' likeness is the threshold or more: by partition, by length, by prefix, and only then by Jaccard."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    least, most = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    return (
+        F.when(F.abs(partition_of(a, threshold) - partition_of(b, threshold)) > 1, False)
+        .when(least < threshold * most - 1e-9, False)
+        .when(~F.arrays_overlap(prefix_of(a, threshold), prefix_of(b, threshold)), False)
+        .otherwise(likeness(a, b) >= threshold - 1e-12)
+    )
+
+
+def near_pairs(df: DataFrame, id_col: str = "doc_id", sigs: str = "sigs", threshold: float = THRESHOLD, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes with likeness >= threshold, and the membership of rows in classes.
 
     Rows with equal sets are one class (class_id: its smallest id). Returns
-    (pairs: class_a < class_b, likeness; members: id, class_id). Classes are partitioned by set
-    length in steps of the threshold, so that a set meets its own and the next partition only;
-    within one, sets meet on a signature of their rarest-first prefix, which a pair above the
-    threshold must share. Null sets have no class.
+    (pairs: class_a < class_b, likeness; members: id, class_id). A set meets its own and the next partition only;
+    within one, sets meet on a signature of their prefixes, which a near pair must share. Above `largest`
+    classes on one signature, they meet on it and a second one: of prefixes longer by one a near pair shares two
+    (for a threshold above one half).
+    Null sets have no class.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(sigs).alias("s")).where(F.col("s").isNotNull())
     classes = written(rows.groupBy("s").agg(F.min("id").alias("class_id")), "spot-classes")
     members = rows.join(classes, "s").select("id", "class_id")
-    step = math.log(1 / threshold)
-    flat = classes.select("class_id", F.size("s").alias("n"), F.explode("s").alias("sig"))
-    ranked = flat.join(flat.groupBy("sig").agg(F.count("*").alias("f")), "sig").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "sig"))).alias("o"))
-    prefix = ranked.select(
-        "class_id", "n", F.floor(F.log("n") / step).alias("part"),
-        F.explode(F.slice("o", 1, F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")))).alias("e"),
-    ).select("class_id", "n", "part", F.col("e.sig").alias("sig"))
+    prefix = classes.select("class_id", F.size("s").alias("n"), partition_of("s", threshold).alias("part"), prefix_of("s", threshold, 1).alias("more"), F.explode(prefix_of("s", threshold)).alias("sig"))
     prefix = written(prefix, "spot-prefix")
-    left = prefix.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = prefix.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), "sig", "part")
-    met = left.join(right, ["part", "sig"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
+    hot = written(prefix.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("sig", F.lit(True).alias("hot")), "spot-hot")
+    keyed = prefix.join(hot, "sig", "left")
+    # the first two that a pair shares stand in both prefixes longer by one, so pairs of signatures are keys too
+    two = F.transform(F.filter("more", lambda x: x != F.col("sig")), lambda x: F.struct(F.least(x, F.col("sig")).alias("x"), F.greatest(x, F.col("sig")).alias("y")))
+    one = F.array(F.struct(F.col("sig").alias("x"), F.lit(-1).cast("long").alias("y")))
+    keyed = keyed.select("class_id", "n", "part", F.explode(F.when(F.col("hot"), two).otherwise(one)).alias("key"))
+    left = keyed.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), "key", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    right = keyed.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), "key", "part")
+    met = left.join(right, ["part", "key"]).where((F.col("x") != F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9))
     met = met.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
     a, b = classes.select(F.col("class_id").alias("class_a"), F.col("s").alias("sa")), classes.select(F.col("class_id").alias("class_b"), F.col("s").alias("sb"))
-    pairs = met.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", likeness("sa", "sb", threshold).alias("likeness")).where("likeness > 0")
+    pairs = met.join(a, "class_a").join(b, "class_b").where(near("sa", "sb", threshold)).select("class_a", "class_b", likeness("sa", "sb").alias("likeness"))
     return pairs, members
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, own: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the next document in ascending doc_id (after the last, the first).
 
-    Documents are dealt out by doc_id into buckets between quantiles; each bucket is ordered by itself
-    and ends with one added row that holds the first text of the next bucket that has rows. Only the
-    quantiles and one row a bucket are seen outside it.
+    With own, also own(text) as own and that of the next document as next_own, made once a text. Documents are
+    dealt out by doc_id into buckets between quantiles (see id_buckets); each bucket is ordered by itself and ends
+    with one added row that holds the first text of the next bucket that has rows. Which bucket that is comes from the
+    buckets' numbers alone; no text but the first of each bucket is seen outside it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bucket, _ = id_buckets(docs, 8 * partitions(spark))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    bucket, _ = id_buckets(docs, 8 * partitions(spark), tie="tie")
     docs = docs.withColumn("bucket", bucket)
-    firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("null_id"))
-    firsts = firsts.select("bucket", F.when(F.col("null_id"), None).otherwise(F.col("doc_id")).alias("first_id"))
-    heads = docs.alias("d").join(F.broadcast(firsts).alias("f"), (F.col("d.bucket") == F.col("f.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("f.first_id")))
-    heads = heads.groupBy(F.col("d.bucket").alias("bucket")).agg(F.min("d.text").alias("text"))
-    order = Window.orderBy("bucket")
-    ends = heads.select("text", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"))
-    rows = docs.select("bucket", F.lit(False).alias("added"), "doc_id", "text").unionByName(ends.select("bucket", F.lit(True).alias("added"), F.lit(None).cast("long").alias("doc_id"), "text"))
-    window = Window.partitionBy("bucket").orderBy("added", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(window)).where(~F.col("added")).select("doc_id", "text", "next_text")
-
-
-def compare_edited(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    # a row of three numbers a bucket
+    firsts = docs.groupBy("bucket").agg(F.min(order).alias("first"))
+    by = Window.orderBy("bucket")
+    firsts = firsts.select("bucket", "first", F.coalesce(F.lag("bucket").over(by), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("to"))
+    heads = docs.alias("d").join(F.broadcast(firsts).alias("f"), (F.col("d.bucket") == F.col("f.bucket")) & F.col("d.doc_id").eqNullSafe(F.col("f.first.doc_id")) & (F.col("d.tie") == F.col("f.first.tie")))
+    heads = heads.groupBy("f.to").agg(F.min("d.text").alias("text")).select(F.col("to").alias("bucket"), F.lit(True).alias("added"), F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tie"), "text")
+    rows = docs.select("bucket", F.lit(False).alias("added"), "doc_id", "tie", "text").unionByName(heads).repartition("bucket")
+    if own is not None:
+        rows = rows.withColumn("own", own(F.col("text")))
+    window = Window.partitionBy("bucket").orderBy("added", F.col("doc_id").asc_nulls_first(), "tie", "text")
+    names = ["text", *(["own"] if own is not None else [])]
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in names}).where(~F.col("added"))
+    return rows.select("doc_id", *names, *(f"next_{c}" for c in names))
+
+
+def compare_edited(docs: DataFrame, chain: int = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's.
 
     The edited text has the last floor(n_chars/4) code points replaced by the first as many (or all)
-    of the next document.
+    of the next document. Besides the likenesses, set_partition is the fingerprint's partition by length, and
+    edited_is_near and next_is_near tell by the pruned comparison whether the likeness is the threshold or more.
     """
     n = F.char_length("text")
-    rows = with_next(docs).select(
-        "doc_id", "text", "next_text", n.cast("long").alias("n_chars"),
+    rows = with_next(docs, lambda text: signatures(text, chain)).select(
+        "doc_id", "own", F.col("next_own").alias("next"), n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring("next_text", F.lit(1), F.floor(n / 4).cast("int"))).alias("edited"),
     )
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        signatures("text", chain).alias("own"), signatures("edited", chain).alias("other"), signatures("next_text", chain).alias("next"),
-    )
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", signatures("edited", chain).alias("other"), "next")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("other").alias("edited_fingerprint"),
         likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
+        partition_of("own", threshold).alias("set_partition"), near("own", "other", threshold).alias("edited_is_near"), near("own", "next", threshold).alias("next_is_near"),
     )
