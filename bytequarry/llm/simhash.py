@@ -12,7 +12,8 @@ Components come from repeated contraction of the links, as tables.
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; fewer words than a shingle make one shingle; shingles count as often as they occur;
 component_id is the smallest doc_id reachable (null only if no member has one); repeated rows
-repeat; an empty table gives no rows; columns besides doc_id and text are not read. Of a doc_id with
+repeat; texts of any length are read whole; an empty table gives no rows; columns besides doc_id and text,
+whatever their names, are not read. Of a doc_id with
 several texts each text is a document of its own.
 """
 
@@ -26,15 +27,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import map_batches, partitions, raw_texts, written
+from bytequarry.llm.common import map_batches, partitions, raw_texts, unused, written
 
 SEED = 42
 RADIUS = 4
 #: Classes of a group from which it is split by further blocks.
 LARGEST = 20_000
+#: How often a group may be split.
+SPLITS = 2
 #: Word pairs (a query against 64 fingerprints) that are compared at once.
 LANES = 1 << 15
 
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """The 64-bit fingerprint of a text's UTF-8 bytes."""
@@ -102,10 +107,9 @@ def near(planes: np.ndarray, query: np.ndarray, word: np.ndarray, who: np.ndarra
     counters = [np.zeros(len(query), np.uint64) for _ in range(width)]
     # counters start so that radius + 1 differences make the top carry out
     start = (1 << width) - radius - 1
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for k in range(width):
         if start >> k & 1:
-            counters[k][:] = full
+            counters[k][:] = _FULL
     over = ~who
     for b in range(64):
         turned = np.uint64(0) - (query >> np.uint64(b) & np.uint64(1))
@@ -114,7 +118,7 @@ def near(planes: np.ndarray, query: np.ndarray, word: np.ndarray, who: np.ndarra
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
         if b % 6 == 5 and b < 60:
-            alive = over != full
+            alive = over != _FULL
             if not alive.all():
                 if not alive.any():
                     return hit
@@ -161,30 +165,46 @@ def links(fp: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int
     for b in range(64):
         planes[b] = np.packbits((spread >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
     valid = np.packbits((at >= 0).astype(np.uint8), bitorder="little").view(np.uint64)
-    # lanes: each fingerprint against its own word (later ones only) and the later words of its group
-    lanes = words_of[number] - inside // 64
     forest, out = Forest(n), []
-    ends = np.cumsum(lanes)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LANES, "right")))
-        count = lanes[i:j]
-        query = np.repeat(np.arange(i, j), count)
-        own = slot[query] // 64
-        word = own + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-        bit = (slot[query] % 64).astype(np.uint64)
-        later = np.where(word == own, ~((np.uint64(2) << bit) - np.uint64(1)), np.uint64(0xFFFFFFFFFFFFFFFF))
-        later = np.where((word == own) & (bit == 63), np.uint64(0), later)
-        hit = near(planes, fp[query], word, valid[word] & later, radius)
-        for k in np.flatnonzero(hit):
-            q, w, h = int(query[k]), int(word[k]) * 64, int(hit[k])
-            while h:
-                low = h & -h
-                other = int(at[w + low.bit_length() - 1])
+    settled = np.zeros(int(base[-1]), np.uint64)
+
+    def compare(queries: np.ndarray, whole: bool) -> None:
+        """Each query with the later fingerprints of its group, and, with whole, with the settled ones."""
+        first_word = base[number[queries]] if whole else slot[queries] // 64
+        lanes = base[number[queries] + 1] - first_word
+        ends, i = np.cumsum(lanes), 0
+        while i < len(queries):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LANES, "right")))
+            count = lanes[i:j]
+            query = np.repeat(queries[i:j], count)
+            word = np.repeat(first_word[i:j], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+            own, bit = slot[query] // 64, (slot[query] % 64).astype(np.uint64)
+            later = np.where(word == own, ~((np.uint64(2) << bit) - np.uint64(1)), np.where(word > own, _FULL, np.uint64(0)))
+            later[(word == own) & (bit == 63)] = 0
+            who = valid[word] & (later | settled[word])
+            some = np.flatnonzero(who)
+            hit = near(planes, fp[query[some]], word[some], who[some], radius)
+            found = np.flatnonzero(hit)
+            lane, at_bit = np.nonzero(np.unpackbits(hit[found].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            asks, others = query[some[found[lane]]], at[word[some[found[lane]]] * 64 + at_bit]
+            for q, other in zip(asks.tolist(), others.tolist(), strict=True):
                 if forest.join(q, other):
                     out.append((q, other))
-                h ^= low
-        i = j
+            i = j
+
+    # the first 64 of each group meet all of it; what they bring together in its largest part needs no more
+    # comparisons within, so that only the others go on as queries
+    compare(np.flatnonzero(inside < 64), False)
+    if (size > 64).any():
+        done = np.zeros(n, bool)
+        for g in np.flatnonzero(size > 64):
+            mine = np.array([forest.root(x) for x in range(first[g], first[g] + size[g])])
+            values, often = np.unique(mine, return_counts=True)
+            done[first[g] : first[g] + size[g]] = mine == values[often.argmax()]
+        here = np.zeros(len(at), np.uint8)
+        here[slot[done]] = 1
+        settled[:] = np.packbits(here, bitorder="little").view(np.uint64)
+        compare(np.flatnonzero((inside >= 64) & ~done), True)
     return out
 
 
@@ -218,35 +238,54 @@ def _edges(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
-    """a, b: links between fingerprints (column fp, distinct) that connect all within the radius."""
-    outer = blocks(list(range(64)), radius + 1)
-
-    def keys(columns: list[tuple[int, int]]):
-        return F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for part, m in columns])).alias("k")
-
-    rows = classes.select("fp", keys([(i, mask(b)) for i, b in enumerate(outer)])).select("k.part", "k.key", "fp")
-    sizes = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > largest)
-    big = written(sizes.select("part", "key"), "simhash-big")
-    if big.isEmpty():
-        return _edges(rows, radius)
-    # in a group the other bits differ by the radius at most: one of radius + 1 blocks of them agrees
-    inner = []
-    for i, own in enumerate(outer):
-        rest = [b for b in range(64) if b not in own]
-        inner += [((i + 1) * 100 + j, i, mask(own) | mask(x)) for j, x in enumerate(blocks(rest, radius + 1))]
-    split = rows.join(big, ["part", "key"], "left_semi").select("fp", F.col("part").alias("p"))
-    split = split.select("fp", "p", keys([(part, m) for part, _, m in inner])).where(F.floor(F.col("k.part") / 100) - 1 == F.col("p")).select("k.part", "k.key", "fp")
-    return _edges(rows.join(big, ["part", "key"], "left_anti").unionByName(split), radius)
+    """a, b: links between fingerprints (column fp, distinct) that connect all within the radius.
+
+    Fingerprints that differ in no more bits than the radius agree in one of radius + 1 blocks of any bits, so a group
+    above `largest` is split by blocks of the bits that it does not agree in yet, SPLITS times at most: groups of one
+    family are cheap as they are (see links), and by then others agree in 31 bits by chance, which would take some
+    10**13 fingerprints. A group that is still larger is compared as it is.
+    """
+    masks = {part: mask(b) for part, b in enumerate(blocks(list(range(64)), radius + 1))}
+    rows = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for p, m in masks.items()])).alias("k"))
+    rows, done = rows.select("k.part", "k.key", "fp"), []
+    for level in range(SPLITS + 1):
+        if level == SPLITS:
+            return _edges(_union([*done, rows]), radius)
+        big = written(rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("part", "key"), "simhash-big")
+        parts = [r["part"] for r in big.select("part").distinct().collect()]  # no more than there are masks
+        inner = {}
+        for p in parts:
+            rest = [b for b in range(64) if not masks[p] >> b & 1]
+            if len(rest) > radius:
+                inner[p] = [((p + 1) * (radius + 2) + j, masks[p] | mask(x)) for j, x in enumerate(blocks(rest, radius + 1))]
+        if not inner:
+            return _edges(rows if not done else _union([*done, rows]), radius)
+        big = big.where(F.col("part").isin(list(inner)))
+        done.append(rows.join(big, ["part", "key"], "left_anti"))
+        split = rows.join(big, ["part", "key"], "left_semi")
+        keys = None
+        for p, found in inner.items():
+            each = F.array(*[F.struct(F.lit(part).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for part, m in found])
+            keys = F.when(F.col("part") == p, each) if keys is None else keys.when(F.col("part") == p, each)
+        masks = {part: m for found in inner.values() for part, m in found}
+        rows = written(split.select("fp", F.explode(keys).alias("k")).select("k.part", "k.key", "fp"), "simhash-split")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0].select(F.col("part").cast("long").alias("part"), "key", "fp")
+    for f in frames[1:]:
+        out = out.unionByName(f.select(F.col("part").cast("long").alias("part"), "key", "fp"))
+    return out
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that each node of the edges (a, b) reaches; large-star and small-star rounds, each a written table."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node that each node of the edges (a, b) reaches; large-star and small-star rounds until none changes, each a written table."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         if edges.isEmpty():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         # large star: each larger neighbour of a node is hung on the node's least neighbour
@@ -263,7 +302,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges = new
         if many.isEmpty() and deep.isEmpty():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    raise RuntimeError("the links did not settle")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:
@@ -284,12 +322,13 @@ def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
     components: doc_id, text_key and kept of every row of docs. Rows without a doc_id all stay.
     """
     found = written(components.select("doc_id", "text_key", "kept"), "simhash-components")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    rows = docs.withColumn("__text_key", F.xxhash64(F.col("text").cast("string")))
-    left = rows.join(gone, (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.col("__text_key") == F.col("__gone_key")), "left_anti")
+    gone_id, gone_key, key = (unused(c, docs.columns) for c in ("gone_id", "gone_key", "text_key"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    left = rows.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
     again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
     if not again.isEmpty():
-        left = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__text_key"]).unionByName(left.where(F.col("doc_id").isNull()))
+        left = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", key]).unionByName(left.where(F.col("doc_id").isNull()))
     return left.select(docs.columns)
 
 

@@ -511,3 +511,16 @@ def test_media_round_trip(raw):
     assert all((webp.decode(f)[..., 1] == x).all() for f, x in zip(flat[:2], lanes))
     assert all(len(d) % 576 == 0 and d for d in data)
     assert zlib.crc32(lanes[-1].tobytes()[-32:]) == zlib.crc32(data[-1][-32:])
+
+
+def test_links_of_a_large_family_by_brute_force():
+    """One group of several hundred, most of them one family, others apart or linked only among themselves."""
+    rng = np.random.default_rng(9)
+    flips = lambda base, most: base ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, most + 1), replace=False)))
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.unique(np.array([flips(base[0], 3) for _ in range(500)] + [flips(b, 4) for b in base[1:] for _ in range(4)], np.uint64))
+    rng.shuffle(fps)
+    forest = simhash.Forest(len(fps))
+    for a, b in simhash.links(fps, np.zeros(len(fps), int), 4):
+        assert bin(int(fps[a] ^ fps[b])).count("1") <= 4 and forest.join(a, b)
+    assert [forest.root(i) for i in range(len(fps))] == brute_links(fps, 4)
