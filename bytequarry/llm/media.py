@@ -4,8 +4,9 @@ A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, ar
 Up to 384 rows are one WebP file; a longer payload is a sequence of files one after the other, each of
 which tells its own length.
 
-Defined results: null text counts as empty (576 bytes 255); equal texts give equal values; repeated
-rows repeat; an empty table gives no rows; columns besides doc_id and text are not read.
+Defined results: null text counts as empty (576 bytes 255); texts of any length are stored whole; equal texts give
+equal values; repeated rows repeat; an empty table gives no rows; columns besides doc_id and text, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

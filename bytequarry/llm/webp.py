@@ -2,11 +2,15 @@
 
 The decoder reads prefix codes, back-references and the colour cache, groups of codes by an entropy
 image, and inverts the predictor, cross-colour, subtract-green and palette transforms. `decode` gives
-an image's pixels; `decode_many` decodes plain single-group images in lanes, one symbol of each
-image at a time, and any other by `decode`.
-
-The encoder stores rows of 8-bit samples in the green channel with prefix codes of its own for
-each image, and a run of equal samples at the end as a back-reference.
+an image's pixels; `decode_many` gives their green samples and decodes images of one group of codes in lanes, one
+symbol of each image at a time, inverts palettes and predictors of one mode by table and running sums,
+and leaves any other image to `decode`.
+
+The encoder keeps rows of 8-bit samples in the green channel, as they are, as a predictor's differences from the
+sample above or to the left, or as a palette of up to 16 values with several samples in a pixel, whichever takes
+the fewest bits by the entropy of its symbols. It writes prefix codes of each image's own, and a run
+of equal symbols at the end as a back-reference. Red and blue are constant and a pixel costs no less
+as a cache index than as a literal, so cross-colour and the colour cache can never pay here and are not written.
 """
 
 from __future__ import annotations
@@ -289,7 +293,7 @@ def invert_subtract_green(argb: np.ndarray) -> np.ndarray:
 
 
 def invert_palette(argb: np.ndarray, width: int, height: int, palette: np.ndarray) -> np.ndarray:
-    bundle = next(b for b, n in ((3, 2), (2, 4), (1, 16), (0, 256)) if len(palette) <= n)
+    bundle = bundle_of(len(palette))
     green = (argb >> 8 & 255).reshape(height, -1)
     x = np.arange(width)
     index = green[:, x >> bundle] >> ((x & ((1 << bundle) - 1)) * (8 >> bundle)) & ((1 << (8 >> bundle)) - 1)
@@ -299,64 +303,118 @@ def invert_palette(argb: np.ndarray, width: int, height: int, palette: np.ndarra
 
 
 def payload(file: bytes) -> bytes:
-    """The VP8L chunk of a RIFF file."""
-    if len(file) < 20 or file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP file")
-    n = struct.unpack_from("<I", file, 16)[0]
-    if n + 20 > len(file) or n < 5:
-        raise ValueError("the file ends early")
-    return file[20 : 20 + n]
+    """The VP8L chunk of a RIFF file, also of one that has other chunks beside it (VP8X, metadata)."""
+    if len(file) < 20 or file[:4] != b"RIFF" or file[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at = 12
+    while at + 8 <= len(file):
+        kind, n = struct.unpack_from("<4sI", file, at)
+        if at + 8 + n > len(file):
+            raise ValueError("the file ends early")
+        if kind == b"VP8L" and n >= 5:
+            return file[at + 8 : at + 8 + n]
+        if kind in (b"VP8 ", b"ALPH", b"ANMF"):
+            raise ValueError("not a single lossless image")
+        at += 8 + n + (n & 1)
+    raise ValueError("not a lossless WebP file")
+
+
+PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: log2 of the pixels in one, and the palette sizes up to which there are so many.
+BUNDLES = ((3, 2), (2, 4), (1, 16), (0, 256))
+
+
+def bundle_of(colours: int) -> int:
+    return next(b for b, n in BUNDLES if colours <= n)
+
+
+@dataclass
+class Transform:
+    """kind; width of the image after it is undone; size_bits of its blocks; its own image (modes, factors or palette)."""
 
+    kind: int
+    width: int
+    size_bits: int = 0
+    image: np.ndarray | None = None
+
+    def undo(self, argb: np.ndarray, height: int) -> np.ndarray:
+        if self.kind == SUBTRACT_GREEN:
+            return invert_subtract_green(argb)
+        if self.kind == PALETTE:
+            return invert_palette(argb, self.width, height, self.image)
+        way = invert_cross_colour if self.kind == CROSS_COLOUR else invert_predictor
+        return way(argb, self.width, height, self.size_bits, self.image)
 
-def _start(file: bytes) -> tuple[Bits, int, int]:
+
+def _start(file: bytes) -> tuple[Bits, int, int, list[Transform], int]:
+    """Bits, width, height, transforms, and the width of the image that is stored."""
     bits = Bits(payload(file))
     if bits.read(8) != SIGNATURE:
         raise ValueError("no signature")
     width, height, _, version = bits.read(14) + 1, bits.read(14) + 1, bits.read(1), bits.read(3)
     if version:
         raise ValueError("an unknown version")
-    return bits, width, height
-
-
-def decode(file: bytes) -> np.ndarray:
-    """height x width x 4 samples: red, green, blue, alpha."""
-    bits, width, height = _start(file)
-    undo, now, seen = [], width, set()
+    found: list[Transform] = []
+    now = width
     while bits.read(1):
         kind = bits.read(2)
-        if kind in seen:
+        if kind in {t.kind for t in found}:
             raise ValueError("a transform twice")
-        seen.add(kind)
-        if kind == 2:
-            undo.append(lambda p, w=now: invert_subtract_green(p))
-        elif kind == 3:
-            deltas = _channels(read_pixels(bits, bits.read(8) + 1, 1, False))
-            palette = _values(np.cumsum(deltas, axis=0))
-            undo.append(lambda p, w=now, t=palette: invert_palette(p, w, height, t))
-            now = -(-now >> next(b for b, n in ((3, 2), (2, 4), (1, 16), (0, 256)) if len(palette) <= n))
+        if kind == SUBTRACT_GREEN:
+            found.append(Transform(kind, now))
+        elif kind == PALETTE:
+            palette = _values(np.cumsum(_channels(read_pixels(bits, bits.read(8) + 1, 1, False)), axis=0))
+            found.append(Transform(kind, now, 0, palette))
+            now = -(-now >> bundle_of(len(palette)))
         else:
             size_bits = bits.read(3) + 2
-            image = read_pixels(bits, -(-now >> size_bits), -(-height >> size_bits), False)
-            way = invert_cross_colour if kind else invert_predictor
-            undo.append(lambda p, w=now, s=size_bits, i=image, way=way: way(p, w, height, s, i))
+            found.append(Transform(kind, now, size_bits, read_pixels(bits, -(-now >> size_bits), -(-height >> size_bits), False)))
+    return bits, width, height, found, now
+
+
+def decode(file: bytes) -> np.ndarray:
+    """height x width x 4 samples: red, green, blue, alpha."""
+    bits, width, height, transforms, now = _start(file)
     pixels = read_pixels(bits, now, height, True)
-    for step in reversed(undo):
-        pixels = step(pixels)
+    for t in reversed(transforms):
+        pixels = t.undo(pixels, height)
     return _channels(pixels).reshape(height, width, 4)[..., [2, 1, 0, 3]].astype(np.uint8)
 
 
+def undo_green(samples: np.ndarray, t: Transform) -> np.ndarray | None:
+    """The green samples (height x width) before a palette, or before a predictor of the one mode left or above; None for another."""
+    if t.kind == PALETTE:
+        bundle = bundle_of(len(t.image))
+        x, table = np.arange(t.width), np.zeros(256, np.uint8)
+        table[: len(t.image)] = t.image >> 8 & 255
+        return table[samples[:, x >> bundle] >> (x & ((1 << bundle) - 1)) * (8 >> bundle) & ((1 << (8 >> bundle)) - 1)]
+    out = samples.copy()
+    if int(t.image[0]) >> 8 & 15 == ABOVE:
+        out[0] = np.cumsum(out[0], dtype=np.uint8)
+        return np.cumsum(out, axis=0, dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], dtype=np.uint8)
+    return np.cumsum(out, axis=1, dtype=np.uint8)
+
+
+LEFT, ABOVE = 1, 2
+
+
+def _simple(t: Transform) -> bool:
+    return t.kind == PALETTE or t.kind == PREDICTOR and len(t.image) == 1 and int(t.image[0]) >> 8 & 15 in (LEFT, ABOVE)
+
+
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """The green samples of each image, height x width. Plain images of one group of codes run in lanes."""
     out: list[np.ndarray | None] = [None] * len(files)
     lanes = []
     for i, file in enumerate(files):
-        bits, width, height = _start(file)
-        if bits.read(1) == 0:
+        bits, _, height, transforms, width = _start(file)
+        if all(map(_simple, transforms)):
             head = read_head(bits, width, height, True)
             codes = head.groups[0]
             plain = not head.cache_bits and head.group_of is None and all(codes[c].only is not None for c in (RED, BLUE, ALPHA))
             if plain and 0 < codes[GREEN].bits <= LANE_BITS:
-                lanes.append((width * height, i, bits, codes, width, height))
+                lanes.append((width * height, i, bits, codes, width, transforms))
                 continue
         out[i] = decode(file)[..., 1]
     if not lanes:
@@ -406,8 +464,10 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
         left = put < end
         if not left.all():
             at, put, end, base, lane = at[left], put[left], end[left], base[left], lane[left]
-    for k, (total, i, _, _, width, height) in enumerate(lanes):
-        out[i] = samples[ends[k] - total : ends[k]].reshape(height, width)
+    for k, (total, i, _, _, width, transforms) in enumerate(lanes):
+        out[i] = samples[ends[k] - total : ends[k]].reshape(-1, width)
+        for t in reversed(transforms):
+            out[i] = undo_green(out[i], t)
     return out
 
 
@@ -499,18 +559,72 @@ def wrap(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(padded) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + padded
 
 
+def bits_of(symbols: np.ndarray) -> float:
+    """About how many bits symbols take: their entropy and the code that says so."""
+    n = np.bincount(symbols.reshape(-1), minlength=256)
+    n = n[n > 0]
+    return float(n @ (np.log2(n.sum()) - np.log2(n))) + 6 * len(n)
+
+
+def put_constants(sink: BitSink, *symbols: int) -> None:
+    """Codes of one symbol each, which take no bits in the image."""
+    for one in symbols:
+        put_code(sink, [int(s == one) for s in range(256)])
+
+
+def shortest(samples: np.ndarray) -> tuple[np.ndarray, BitSink, int]:
+    """Symbols (height x width) to store for samples, the transform that they need, and the constant alpha."""
+    above, left = np.diff(samples, axis=0, prepend=np.uint8(0)), np.diff(samples, axis=1, prepend=np.uint8(0))
+    above[0], left[:, 0] = left[0], above[:, 0]  # the first row is predicted from the left, the first column from above
+    ways = [(bits_of(samples), 0, samples, None), (bits_of(above) + 60, 1, above, ABOVE), (bits_of(left) + 60, 2, left, LEFT)]
+    values = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
+    if 1 < len(values) <= 16:
+        per, wide = 1 << bundle_of(len(values)), 8 >> bundle_of(len(values))
+        index = np.searchsorted(values, samples).astype(np.uint8)
+        index = np.pad(index, ((0, 0), (0, -samples.shape[1] % per))).reshape(len(samples), -1, per)
+        packed = (index << (np.arange(per) * wide).astype(np.uint8)).sum(axis=2, dtype=np.uint8)
+        ways.append((bits_of(packed) + 60 + 14 * len(values), 3, packed, values))
+    _, kind, symbols, how = min(ways, key=lambda w: w[:2])
+    sink = BitSink()
+    if kind in (1, 2):
+        sink.put(1, 1)
+        sink.put(PREDICTOR, 2)
+        sink.put(7, 3)  # blocks of 512 pixels: one mode for all
+        sink.put(0, 1)
+        put_constants(sink, how, 0, 0, 255, 0)
+        return symbols, sink, 0
+    if kind == 3:
+        sink.put(1, 1)
+        sink.put(PALETTE, 2)
+        sink.put(len(how) - 1, 8)
+        sink.put(0, 1)
+        deltas = np.diff(how, prepend=0).tolist()
+        lengths = code_lengths(np.bincount(deltas, minlength=LITERALS + LENGTHS).tolist(), LANE_BITS)
+        codes = {symbol: (code, n) for symbol, n, code in canonical(lengths)}
+        put_code(sink, lengths)
+        put_constants(sink, 0, 0)
+        put_code(sink, [int(s in (0, 255)) for s in range(256)])  # alpha: 255 first, then no difference
+        put_constants(sink, 0)
+        for i, d in enumerate(deltas):
+            if len(codes) > 1:
+                sink.put(*codes[d])
+            sink.put(int(i == 0), 1)
+    return symbols, sink, 255
+
+
 def encode_samples(images: list[bytes], width: int) -> list[bytes]:
     """A file for each image: rows of `width` 8-bit samples, kept in the green channel."""
-    arrays = [np.frombuffer(x, np.uint8) for x in images]
     out = []
-    for samples in arrays:
-        n = len(samples)
+    for data in images:
+        n = len(data)
         if n == 0 or n % width:
             raise ValueError("whole rows are needed")
+        samples, transform, alpha = shortest(np.frombuffer(data, np.uint8).reshape(-1, width))
+        samples = np.ascontiguousarray(samples).reshape(-1)
         other = np.flatnonzero(samples != samples[-1])
-        run = n - 1 - (int(other[-1]) + 1 if len(other) else 0)
+        run = len(samples) - 1 - (int(other[-1]) + 1 if len(other) else 0)
         run = min(run, 4096) if run >= 4 else 0
-        literal = samples[: n - run]
+        literal = samples[: len(samples) - run]
         counts = np.bincount(literal, minlength=LITERALS + LENGTHS)
         tail = prefix_of(run) if run else None
         if tail:
@@ -520,11 +634,12 @@ def encode_samples(images: list[bytes], width: int) -> list[bytes]:
         sink.put(SIGNATURE, 8)
         sink.put(width - 1, 14)
         sink.put(n // width - 1, 14)
-        sink.put(0, 5)  # alpha is not used, version 0, no transform
+        sink.put(0, 4)  # alpha is not used, version 0
+        sink.put(transform.value, transform.n)
+        sink.put(0, 1)  # no more transforms
         sink.put(0, 2)  # no colour cache, one group of codes
         put_code(sink, lengths)
-        for one in (0, 0, 255, 1):  # red, blue, alpha; the distance is that to the left neighbour
-            put_code(sink, [int(s == one) for s in range(256)])
+        put_constants(sink, 0, 0, alpha, 1)  # red, blue, alpha; the distance is that to the left neighbour
         table, sizes = np.zeros((LITERALS, LANE_BITS), np.uint8), np.zeros(LITERALS, np.int64)
         codes = canonical(lengths)
         for symbol, size, code in codes if len(codes) > 1 else ():

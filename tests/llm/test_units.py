@@ -482,6 +482,31 @@ def test_webp_cache_references_and_groups():
     assert argb_of(webp.decode(w.file())) == want
 
 
+STORED = {
+    "plain": (None, bytes(RNG.integers(97, 123, 24 * 30, dtype=np.uint8))),
+    "above": (webp.PREDICTOR, b"abc def ghi jkl mno pqr " * 40),
+    "left": (webp.PREDICTOR, bytes((i * 3 + (i // 24) * 7) & 255 for i in range(24 * 40))),
+    "two": (webp.PALETTE, b"".join([b"\x07\xc8\x07\x07\xc8\xc8\x07\xc8", b"\xc8" * 8, b"\xc8\x07" * 4][k] for k in RNG.integers(0, 3, 3 * 41))),
+    "four": (webp.PALETTE, b"".join([b"\x00\x07\x09\xff", b"\x09\x09\x07\x07", b"\xff\x00\x07\x00"][k] for k in RNG.integers(0, 3, 6 * 41))),
+    "sixteen": (webp.PALETTE, bytes(np.repeat(RNG.integers(0, 16, 24 * 60, dtype=np.uint8) * 17, 2))),
+    "one": (None, b"\xff" * 576),
+}
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_webp_encoder_takes_the_shortest_way(name):
+    """Files that need a predictor or a palette come back the same through lanes, through the whole decoder, and in a VP8X file."""
+    kind, data = STORED[name]
+    file = webp.encode_samples([data], 24)[0]
+    assert [t.kind for t in webp._start(file)[3]] == ([] if kind is None else [kind])
+    want = np.frombuffer(data, np.uint8).reshape(-1, 24)
+    assert (webp.decode_many([file, file])[1] == want).all()
+    pixels = webp.decode(file)
+    assert (pixels[..., 1] == want).all() and (pixels[..., [0, 2]] == 0).all() and (pixels[..., 3] == 255).all()
+    extra = b"VP8X" + struct.pack("<I", 10) + bytes(10) + b"EXIF" + struct.pack("<I", 3) + b"abc\0" + file[12:] + b"XMP " + struct.pack("<I", 0)
+    assert (webp.decode(b"RIFF" + struct.pack("<I", len(extra) + 4) + b"WEBP" + extra) == pixels).all()
+
+
 def test_webp_near_distances():
     assert webp.NEAR[:12] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2)]
     assert len(webp.NEAR) == 120 and webp.NEAR[-3:] == [(-7, 7), (8, 6), (8, 7)]
