@@ -452,3 +452,59 @@ def test_simhash_wide_links_short_texts(spark):
     sets = word_sets(dict(enumerate(texts)))
     assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2))
     assert {r.doc_id for r in simhash_wide.keep_one(docs).collect()} == set(range(0, len(texts), 2))
+
+
+def test_simhash_wide_finds_the_pairs_of_a_whole_table(spark):
+    """Groups of the 10,000 documents of scale 0.1 against those of an exact similarity join of their shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    by_class = {}
+    for r in docs.select("doc_id", "text").collect():
+        by_class.setdefault(simhash_wide.class_of(simhash_wide.words_of((r.text or "").encode())), (r.text or "", []))[1].append(r.doc_id)
+    sets = [simhash_wide.shingles(simhash_wide.words_of(t.encode())) if t.split() else np.zeros(0, np.uint64) for t, _ in by_class.values()]
+    names, often = np.unique(np.concatenate(sets), return_counts=True)
+    index, pairs_found = {}, []
+    whole = [set(s.tolist()) for s in sets]
+    for i in np.argsort([len(s) for s in sets], kind="stable").tolist():
+        # rarest first: of a pair of 0.8 both prefixes hold one shingle in common
+        order = sets[i][np.argsort(often[np.searchsorted(names, sets[i])], kind="stable")]
+        n = len(order)
+        near = set()
+        for x in order[: n - -(-4 * n // 5) + 1].tolist():
+            near.update(index.setdefault(x, []))
+            index[x].append(i)
+        pairs_found += [(i, j) for j in near if 5 * len(whole[j]) >= 4 * n and 9 * len(whole[i] & whole[j]) >= 4 * (n + len(whole[j]))]
+    exact = simhash.Forest(len(sets))
+    for i, j in pairs_found:
+        exact.join(i, j)
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_classes(docs).collect()}
+    ids = [d for _, d in by_class.values()]
+    assert all(len({got[x] for x in d}) == 1 for d in ids)
+    found = [got[d[0]] for d in ids]
+    recall = np.mean([found[i] == found[j] for i, j in pairs_found])
+    assert len(pairs_found) > 40 and recall >= 0.99, (len(pairs_found), recall)
+    # and nothing is joined that no chain of such pairs joins
+    of = {}
+    assert all(of.setdefault(c, exact.root(i)) == exact.root(i) for i, c in enumerate(found))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, letterless and very long texts, missing and repeated ids, repeated rows, names that the stages use."""
+    extra = ["lang_pred", "score", "toxic_score", "n_lines", "n_dropped", "row", "gone", "text_key", "gone_id", "gone_key", "fp", "cls", "piece", "start", "length"]
+    prose = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' and n_chars > 400").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t, "en") for i, t in enumerate(prose)] + [(100, None, "en"), (101, "", None), (102, "123 !!", "en"), (None, prose[0] + " of its own", "en"), (103, prose[1], "en"), (103, prose[1], "en"), (1, prose[1], "en"), (104, " ".join(prose) * 8, "en")]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in extra))
+    labels = spark.createDataFrame([(1, 0), (None, 1), (2, None), (9999, 1)], "doc_id long, toxic int")
+    for name, part in (("some", docs), ("none", docs.limit(0))):
+        part.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    left = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path / "some"))
+        assert left.columns == docs.columns, name
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    got = {d for d, _ in kept}
+    assert not got & {100, 101, 102, 103} and None in got and {1, 104} <= got and [d for d, _ in kept].count(1) == 1
+    packed = corpus_pipeline.run(spark, str(tmp_path / "some")).toPandas()
+    assert set(packed.doc_id.dropna().astype(int)) == got - {None} and packed.doc_id.isna().sum() >= 1
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.columns == packed.columns.tolist()
