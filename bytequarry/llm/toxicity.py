@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,34 +41,32 @@ CHUNK = 1 << 20
 
 
 class _Words(dict):
-    """A worker's cache of word hashes."""
+    """A worker's cache: a number for each word, and by it the hashes of the word and of its stem (0 where it is shorter than one)."""
 
-    def __missing__(self, word: str) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-class _Stems(dict):
-    """A worker's cache of the hashes of words' stems; 0 for a word that is shorter than one."""
+    def __init__(self) -> None:
+        self.word, self.stem = np.zeros(4096, np.uint64), np.zeros(4096, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest("stem " + word[:STEM]) if len(word) >= STEM else 0
+        out = self[word] = len(self)
+        if out == len(self.word):
+            self.word, self.stem = (np.concatenate([x, np.zeros(len(x), np.uint64)]) for x in (self.word, self.stem))
+        self.word[out] = xxhash.xxh3_64_intdigest(word)
+        self.stem[out] = xxhash.xxh3_64_intdigest("stem " + word[:STEM]) if len(word) >= STEM else 0
         return out
 
 
-_words, _stems = _Words(), _Stems()
+_words = _Words()
 
 
 def features(chunk: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit feature hashes of the texts, repeats included, and the number of the text of each."""
     if len(_words) > CACHED:
         _words.clear()
-        _stems.clear()
     lists = [WORD.findall(t.lower()) for t in chunk]
     sizes = np.array([len(x) for x in lists], np.int64)
-    h = np.fromiter((_words[w] for x in lists for w in x), np.uint64, int(sizes.sum()))
+    at = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+    h, stems = _words.word[at], _words.stem[at]
     owner = np.repeat(np.arange(len(chunk)), sizes)
-    stems = np.fromiter((_stems[w] for x in lists for w in x), np.uint64, len(h))
     found, owners = [h, stems[stems > 0]], [owner, owner[stems > 0]]
     for kind, offsets in ((1, (1,)), (2, (1, 2)), (3, (2,))):
         n = len(h) - offsets[-1]
