@@ -17,8 +17,10 @@ up the differences of 64 at once, and words in which all have passed the radius
 that earlier links connect already are not compared again, and a group gives a spanning forest, never all
 pairs. The candidates of a query are counted out together; one that fails is no link, and the others are
 still tried. Only classes that share a band carry their shingle hashes, made anew from one text of each. A
-group above `largest` classes or `most` shingles is cut in chunks whose pairs are groups of their own, so
-none of its links are lost and none of its tasks is larger. Components come from contraction, as tables.
+group above `largest` classes or `most` shingles is cut in chunks. Each chunk meets REPRESENTATIVES of the group first,
+the same in all chunks; what links to the largest part of those is connected across the chunks already. Only
+the classes that are not go on to meet all other chunks, so that none of the links that matter is lost,
+none of the tasks is larger, and a family costs about as much as its chunks. Components come from contraction, as tables.
 
 Defined results: null text counts as empty; texts without words are one class and link to nothing else;
 fewer words than a shingle make one shingle; component_id is the smallest doc_id reachable (null only
@@ -34,7 +36,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import map_batches, partitions, raw_texts, written
@@ -52,6 +54,8 @@ ROWS = 3
 LARGEST = 20_000
 #: Shingles of a group from which it is cut in chunks.
 MOST = 1 << 21
+#: Classes of a group that is cut that all of its chunks meet first.
+REPRESENTATIVES = 64
 #: Shingles of candidates that are counted out at once.
 COUNTED = 1 << 20
 #: Word pairs (a query against 64 fingerprints) that are compared at once.
@@ -243,10 +247,11 @@ class Sets:
         return 9 * both >= 4 * (self.sizes[query] + self.sizes[others])
 
 
-def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = None) -> list[tuple[int, int]]:
+def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs that span, in each group (consecutive equal numbers), the links: pairs within the radius.
 
-    With sets, links are the pairs whose sets are alike, of those within the radius and of all short ones.
+    With sets, links are the pairs whose sets are alike, of those within the radius and of all short ones. With
+    queries (a mask), pairs without a query are known to be connected or compared already.
     """
     n = len(fps)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -309,6 +314,10 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = N
                         out.append((q, other))
             i = j
 
+    if queries is not None:
+        settled[:n] = ~queries
+        compare(np.flatnonzero(queries))
+        return out
     # the first 64 of each group meet all of it; what they bring together in its largest part needs
     # no more comparisons within, so only the others go on as queries
     compare(np.flatnonzero(inside < 64))
@@ -324,26 +333,76 @@ def links(fps: np.ndarray, group: np.ndarray, radius: int, sets: Sets | None = N
 
 def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST, most: int = MOST) -> DataFrame:
     """a, b: links between classes (cls distinct, fp, keys, size, source) of docs that connect all that share a band and are alike (see links)."""
+    chunks = lambda n, of: F.ceil(F.greatest(F.col(n) / largest, F.col(of) / most)).cast("int")
     keyed = classes.select("cls", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("of")).where("n > 1")
-    chunks = F.ceil(F.greatest(F.col("n") / largest, F.col("of") / most)).cast("int")
-    rows = written(keyed.join(shared, "key").select("cls", "key", chunks.alias("chunks")), "wide-groups")
+    rows = written(keyed.join(shared, "key").select("cls", "key", "size", chunks("n", "of").alias("chunks")), "wide-groups")
+    own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    none = F.lit(0)
+    small = rows.where("chunks = 1").select("cls", "key", none.alias("x"), none.alias("y"), F.lit(False).alias("first"), F.lit(True).alias("whole"))
+    big = rows.where("chunks > 1")
+    if big.isEmpty():
+        return _linked(docs, classes, small, words, radius).where("b IS NOT NULL").select("a", "b")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(1)), "cls"))
+    first = written(big.withColumn("rank", rank).where(F.col("rank") <= REPRESENTATIVES).select("cls", "key", "chunks"), "wide-representatives")
+    everywhere = first.select("cls", "key", F.explode(F.sequence(none, F.col("chunks") - 1)).alias("x"))
+    members = big.select("cls", "key", own.alias("x")).join(everywhere, ["cls", "key", "x"], "left_anti")
+    apart = everywhere.withColumn("first", F.lit(True)).unionByName(members.withColumn("first", F.lit(False))).select("cls", "key", "x", none.alias("y"), "first", F.lit(False).alias("whole"))
+    found = written(_linked(docs, classes, small.unionByName(apart), words, radius), "wide-links")
+    # what is not connected with the representatives' largest part meets the members of all chunks
+    left = big.join(found.where("b IS NULL").select(F.col("a").alias("cls"), "key").distinct(), ["cls", "key"], "left_semi")
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("of")).select("key", chunks("n", "of").alias("parts"))
+    part = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts")).cast("int")
+    asking = left.join(sizes, "key").select("cls", "key", F.explode(F.sequence(none, F.col("chunks") - 1)).alias("x"), part.alias("y"), F.lit(True).alias("first"))
+    asked = big.join(sizes, "key").select("cls", "key", own.alias("x"), F.explode(F.sequence(none, F.col("parts") - 1)).alias("y"), F.lit(False).alias("first"))
+    again = _linked(docs, classes, asking.unionByName(asked).withColumn("whole", F.lit(False)), words, radius, asked=True)
+    return found.unionByName(again).where("b IS NOT NULL").select("a", "b")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, radius: int, asked: bool = False) -> DataFrame:
+    """a, b, key: the links of the groups (key, x, y) in rows (cls, key, x, y, first, whole).
+
+    Of a group that is not whole, the classes marked first are the representatives, and a row with a null b names
+    each class a that is not connected with the largest part of them. With asked, only pairs with a class marked
+    first are compared.
+    """
     sources = classes.join(rows.select("cls").distinct(), "cls", "left_semi").select("source.doc_id", "source.text_key")
     held = classes.select("cls", "fp").join(shingle_sets(docs, sources, words), "cls")
-    mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = rows.select("cls", "key", mine.alias("x"), other.alias("y")).select("cls", "key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rows = rows.join(held, "cls").select("key", "x", "y", "cls", "fp", "found")
-    rows = rows.repartition(max(1, partitions(classes.sparkSession)), "key", "x", "y").sortWithinPartitions("key", "x", "y", "cls")
+    rows = rows.join(held, "cls").select("key", "x", "y", "first", "whole", "cls", "fp", "found")
+    rows = rows.repartition(max(1, partitions(classes.sparkSession)), "key", "x", "y").sortWithinPartitions("key", "x", "y", F.col("first").desc(), "cls")
 
     def solved(held: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(held.column("fp").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         each = held.column("found").to_pylist()
-        sets = Sets(np.frombuffer(b"".join(each), np.uint64), np.fromiter(map(len, each), np.int64, len(each)) // 8)
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 8
+        hashes = np.frombuffer(b"".join(each), np.uint64)
         del each
-        found = np.array(links(fps, np.cumsum(cuts), radius, sets), np.int64).reshape(-1, 2)
-        cls = held.column("cls").to_pylist()
-        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i in found[:, k]], pa.binary()) for k in (0, 1)], ["a", "b"])
+        first, group = held.column("first").to_numpy(), np.cumsum(cuts)
+        whole = asked or held.column("whole").to_numpy().all()
+        sets = Sets(hashes, sizes)
+        if whole:
+            del hashes
+        found = links(fps, group, radius, sets, first if asked else None)
+        cls, key = held.column("cls").to_pylist(), held.column("key").to_pylist()
+        out = [(cls[i], cls[j], key[i]) for i, j in found]
+        if not whole:
+            forest = Forest(len(cls))
+            for i, j in found:
+                forest.join(i, j)
+            ends = np.cumsum(sizes)
+            starts = np.append(np.flatnonzero(cuts), len(cls))
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                if not held.column("whole")[a].as_py():
+                    # the representatives by themselves, so that all chunks see the same parts
+                    n = int(first[a:b].sum())
+                    alone = Forest(n)
+                    for i, j in links(fps[a : a + n], np.zeros(n, int), radius, Sets(hashes[ends[a] - sizes[a] : ends[a + n - 1]], sizes[a : a + n])):
+                        alone.join(i, j)
+                    values, often = np.unique([alone.root(i) for i in range(n)], return_counts=True)
+                    main = forest.root(a + int(values[often.argmax()]))
+                    out += [(cls[i], None, key[i]) for i in range(a, b) if forest.root(i) != main]
+        kinds = (pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["a", "b", "key"])
 
     def starts(held: pa.Table) -> np.ndarray:
         columns = [held.column(c).to_numpy() for c in ("key", "x", "y")]
@@ -368,7 +427,7 @@ def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, radius:
             held = pa.Table.from_batches(waiting)
             yield solved(held, starts(held))
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary, key long")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:

@@ -326,7 +326,9 @@ def check_near_classes(texts, kept):
 
 
 @pytest.mark.parametrize("largest", [simhash_wide.LARGEST, 5])
-def test_simhash_wide(spark, odd, none, largest):
+def test_simhash_wide(spark, odd, none, largest, monkeypatch):
+    if largest < 10:
+        monkeypatch.setattr(simhash_wide, "REPRESENTATIVES", 3)
     rng = np.random.default_rng(6)
     texts = ["", None, " \n", "one", "ONE ", "one two", "one two three four five", "one two three four six", "É b c d e f", "é b c d e f"]
     for _ in range(12):
@@ -443,6 +445,32 @@ def test_simhash_wide_links_no_pair_below(spark):
     assert {r.doc_id for r in simhash_wide.keep_one(docs).collect()} == set(range(121))
 
 
+def test_simhash_wide_of_a_family_in_chunks(spark, monkeypatch):
+    """A family of which most link to the representatives, some only to each other, and some to nothing, over many chunks."""
+    monkeypatch.setattr(simhash_wide, "REPRESENTATIVES", 4)
+    rng, words = np.random.default_rng(11), [f"w{i}" for i in range(200)]
+
+    def changed(base, n):
+        copy = list(base)
+        for k in rng.choice(np.arange(60, 200), n, replace=False):
+            copy[k] = f"x{rng.integers(0, 10**9)}"
+        return copy
+
+    other = changed(words, 12)
+    lines = [changed(words, int(rng.integers(0, 4))) for _ in range(60)] + [changed(other, int(rng.integers(0, 3))) for _ in range(15)] + [changed(words, 14) for _ in range(15)]
+    docs = spark.createDataFrame([(int(d), " ".join(w)) for d, w in zip(rng.permutation(len(lines)), lines)], "doc_id long, text string")
+    sets = word_sets({r.doc_id: r.text for r in docs.collect()})
+    exact = simhash.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                exact.join(i, j)
+    want = {d for d in sets if exact.root(d) == d}
+    assert 5 < len(want) < 40
+    for largest in (simhash_wide.LARGEST, 20, 7):
+        assert {r.doc_id for r in simhash_wide.keep_one(docs, largest=largest).collect()} == want
+
+
 def test_simhash_wide_links_short_texts(spark):
     """Texts of few shingles with a similarity of 0.8 or more, of which one has a word or more at its end than the other."""
     texts = []
