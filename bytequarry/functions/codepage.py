@@ -28,6 +28,10 @@ def decode(data: bytes, page: int = 932) -> str:
     if data.isascii():
         return data.decode("ascii")
     out, i, name = [], 0, codec(page)
+    try:
+        return data.decode(name)  # sound data in one go
+    except UnicodeDecodeError:
+        pass
     while i < len(data):
         n = 2 if is_lead(data[i], page) and i + 1 < len(data) else 1
         chunk = data[i : i + n]

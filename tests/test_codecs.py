@@ -178,6 +178,17 @@ def test_weight_tree_ties():
     assert tree.children == {4: (0, 1), 5: (2, 4)}
 
 
+@given(st.binary(max_size=12), st.sampled_from([932, 936, 949, 950, 1252]))
+@settings(max_examples=300, deadline=None)
+def test_sound_data_decode_as_character_by_character(data, page):
+    got, out, i = codepage.decode(data, page), [], 0
+    while i < len(data):
+        n = 2 if codepage.is_lead(data[i], page) and i + 1 < len(data) else 1
+        out.append(codepage.decode(data[i : i + n], page) if data[i : i + n] else "")
+        i += n
+    assert got == "".join(out)
+
+
 def test_codepage_vectors():
     assert codepage.decode(b"\x82\xa0\x81\xad\x81") == "あ&#81AD&#0081"
     assert codepage.encode("あ&#81AD&#0041") == b"\x82\xa0\x81\xadA"
