@@ -185,6 +185,67 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert model.masks.shape == (2, langid.SLOTS) and model.predict([r[1] for r in rows])[0] == [r[2] for r in rows]
 
 
+def test_language_by_brute_force(spark):
+    """The filter, its masks and the corrected shares, one n-gram at a time in plain Python, give the same languages and scores."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    slots, big = 4096, (1 << 64) - 1
+    fit_on = docs.where(~langid.held_out())
+    model = langid.fit(fit_on, slots=slots)
+
+    def grams(text):
+        out, last = [], None
+        for c in f" {text.lower()} ":
+            c = c if c.isalpha() else " "
+            if c != " " or last != " ":
+                out.append(c)
+            last = c
+        return ["".join(out[i : i + 4]) for i in range(len(out) - 3)]
+
+    def at(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & big
+            h ^= h >> 29
+        step = h >> 32 | 1
+        return [(h + k * step & big) % slots for k in range(2)]
+
+    rows = fit_on.where("lang is not null and lang <> ''").collect()
+    held = {}
+    for r in rows:
+        for g in set(grams(r.text or "")):
+            held[g, r.lang] = held.get((g, r.lang), 0) + 1
+    filled = {x: set() for x in model.languages}
+    for (g, lang), n in held.items():
+        if n >= 3:
+            filled[lang].update(at(g))
+    rates = {x: min((len(f) / slots) ** 2, 0.99) for x, f in filled.items()}
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for r in docs.limit(60).collect():
+        found = [at(g) for g in grams(r.text or "")]
+        share = {x: min(1, max(0, (sum(all(s in f for s in g) for g in found) / max(1, len(found)) - rates[x]) / (1 - rates[x]))) for x, f in filled.items()}
+        best = max(model.languages, key=lambda x: share[x])
+        want = (best, share[best]) if any(c.isalpha() for c in r.text or "") else ("und", 0.0)
+        assert got[r.doc_id].lang_pred == want[0] and got[r.doc_id].score == pytest.approx(want[1])
+
+
+def test_whole_table_equals_the_library(spark):
+    """Ids of every document, through the shard files and through the segment tree, are the tokenizers library's."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    words, pieces = (tokens.encoder(tokens.vocabulary(n), w) for n, w in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)))
+    stored = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in planes.read(planes.write(docs, planes.encode(docs))).collect()}
+    merged = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs).collect()}
+    start = 0
+    for d, text in texts:
+        ids = words.whole(text) + (1).to_bytes(4, "little")
+        assert stored[d] == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+        ids = pieces.whole(text)
+        back = pieces.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        assert merged[d] == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    assert len(stored) == len(merged) == len(texts)
+
+
 def test_planes(spark, odd, none):
     rows = [r.asDict() for r in planes.read(planes.write(odd, planes.encode(odd), bits=1, chunk_ids=50), keep_ids=True).collect()]
     assert len(rows) == 9
