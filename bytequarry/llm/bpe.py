@@ -5,8 +5,9 @@ node holds the least of its children. So the root is the leftmost pair of the lo
 changes three leaves at most, each in logarithmic time, until no pair in the tree can be merged.
 
 Defined results: null text counts as empty (no ids, empty decoded text); the strings of the
-vocabulary's added tokens become those tokens, as in the library; repeated rows repeat; other
-columns are not read.
+vocabulary's added tokens become those tokens, as in the library; texts of any length are encoded whole (a piece of
+n bytes takes a tree of 4 n numbers at most); repeated rows repeat; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

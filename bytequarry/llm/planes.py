@@ -14,9 +14,9 @@ Any chunk can be read by itself through the index. Shards are written below the
 folder, under a name of the attempt's own, and counted only through the manifest that successful
 attempts leave; a lost executor's task writes its shard anew.
 
-Defined results: null text counts as empty (its ids are the end id alone); rows of one doc_id keep
-one order, by their ids; a null doc_id comes first; an empty table gives no file and no row; other
-columns are not read.
+Defined results: null text counts as empty (its ids are the end id alone); a text of any length is encoded whole and
+may span chunks; rows of one doc_id keep one order, by a hash of their ids and by these; a null doc_id comes first;
+an empty table gives no file and no row; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def write(docs: DataFrame, encoded: DataFrame, bits: int = 8, chunk_ids: int = C
     docs: a table with the same doc_ids, cheap to scan, for the shards' bounds.
     """
     spark = docs.sparkSession
-    bucket, count = id_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id")), max(1, partitions(spark)))
+    bucket, count = id_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id")), max(1, partitions(spark)), tie="tie")
     folder = scratch(spark, "planes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,9 @@ def write(docs: DataFrame, encoded: DataFrame, bits: int = 8, chunk_ids: int = C
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([out.n_ids], pa.int64()), pa.array([n], pa.int64())], ["shard", "path", "n_ids", "n_docs"])
 
-    dealt = encoded.withColumn("bucket", bucket).repartitionById(count, F.col("bucket").cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # rows of one doc_id, or of none, that are too many for one shard are dealt out by a hash of their ids
+    dealt = encoded.withColumn("tie", F.xxhash64("ids")).withColumn("bucket", bucket)
+    dealt = dealt.repartitionById(count, "bucket").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").drop("tie")
     manifest = written(dealt.mapInArrow(run, "shard int, path string, n_ids long, n_docs long"), "planes-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -258,6 +258,16 @@ def test_planes(spark, odd, none):
     assert planes.read(planes.write(none, planes.encode(none))).count() == 0
 
 
+def test_planes_of_hot_and_missing_ids(spark):
+    rows = [(7, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(150)] + [(i, f"own {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = planes.write(docs, planes.encode(docs))
+    assert manifest.agg(F.max("n_docs")).first()[0] <= 150 and manifest.count() >= 7
+    found = sorted(planes.read(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 150 + sorted([*[7] * 200, *range(100)])
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+
+
 @pytest.mark.parametrize("limit", [linededup.BROADCAST_LIMIT, 1, 0])
 def test_line_dedup(spark, odd, none, limit):
     docs = spark.createDataFrame([(i, f" SHARED \t\nown {i}\n\nfour" + ("\nfour" if i < 2 else "")) for i in range(10)] + [(20, None), (21, "shared"), (22, "other"), (22, "other")], "doc_id long, text string")
