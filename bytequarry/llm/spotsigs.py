@@ -43,37 +43,40 @@ THRESHOLD = 0.8
 LARGEST = 1000
 
 
-def _alternation(words: list[str]) -> str:
-    """One regular expression for the words, grouped by first letter so that few branches are tried."""
-    by_first: dict[str, set[str]] = {}
-    for word in words:
-        by_first.setdefault(word[0], set()).add(word[1:])
-    return "|".join(f"{first}(?:{'|'.join(sorted(rest, key=lambda x: (-len(x), x)))})" for first, rest in sorted(by_first.items()))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value as a lambda's variable, so that it is computed once a row."""
+    return F.transform(F.array(value), use)[0]
 
 
 def signatures(text: Column | str, chain: int = CHAIN) -> Column:
-    """The sorted set of a text's spot signatures, array<bigint> of 32-bit values; chain: content words of a signature."""
+    """The sorted set of a text's spot signatures, array<string> of 8 hex digits; chain: content words of a signature."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    # no group is repeated in the expressions: Java would recurse as often as it repeats
-    plain = F.regexp_replace(F.translate(F.lower(text), BORDERS, MARK * len(BORDERS)), f"[^\\p{{L}}\\p{{N}}{MARK}]+", " ")
-    spaced = F.concat(F.lit(MARK + " "), F.replace(plain, F.lit(MARK), F.lit(f" {MARK} ")), F.lit(" "))
-    marked = F.regexp_replace(spaced, f"(?<= )(?:{_alternation(ANCHORS)})(?= )", MARK)
-    # each word after an anchor carries one mark, whatever stood between
-    words = F.split(F.trim(F.rtrim(F.regexp_replace(marked, f" *{MARK}[ {MARK}]*", f" {MARK}"), F.lit(MARK + " "))), " +")
-    # lambdas' variables, so that the regular expressions run once a text
-    return F.transform(F.array(words), lambda w: F.transform(F.array(F.transform(w, lambda x: F.ltrim(x, F.lit(MARK)))), lambda bare: _set_of(w, bare, text, chain))[0])[0]
+    marked = F.replace(F.translate(F.lower(text), BORDERS, MARK * len(BORDERS)), F.lit(MARK), F.lit(f" {MARK} "))
+    # no group is repeated in the expression: Java would recurse as often as it repeats
+    tokens = F.split(marked, f"[^\\p{{L}}\\p{{N}}{MARK}]+")
+    return _once(tokens, lambda t: _once(F.transform(t, lambda w: w.isin("", MARK, *ANCHORS)), lambda anchor: _once(_content(t, anchor), lambda words: _set_of(words, text, chain))))
 
 
-def _set_of(words: Column, bare: Column, text: Column, chain: int) -> Column:
-    spots = F.transform(words, lambda word, i: F.when(word.startswith(MARK), F.xxhash64(*[F.get(bare, i + k) for k in range(chain)])))
-    found = F.array_sort(F.array_distinct(F.transform(F.filter(spots, lambda x: x.isNotNull()), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.when((F.size(words) == 1) & (bare[0] == ""), F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(found)
+def _content(tokens: Column, anchor: Column) -> Column:
+    """The content words, with whether an anchor (or the text's start) is right before each."""
+    after = lambda i: (i == 0) | F.get(anchor, i - 1)
+    words = F.transform(tokens, lambda w, i: F.when(~F.get(anchor, i), F.struct(w.alias("word"), after(i).alias("spot"))))
+    return F.filter(words, lambda x: x.isNotNull())
+
+
+def _set_of(words: Column, text: Column, chain: int) -> Column:
+    spots = F.transform(words, lambda w, i: F.when(w["spot"], _hash(F.concat_ws(" ", w["word"], *[F.get(words, i + k)["word"] for k in range(1, chain)]))))
+    return F.when(F.size(words) == 0, F.array(_hash(text))).otherwise(F.array_sort(F.array_distinct(F.filter(spots, lambda x: x.isNotNull()))))
+
+
+def _hash(text: Column) -> Column:
+    """The first 32 bits of a digest that every database has, so that SQL can check the fingerprints."""
+    return F.substring(F.md5(text), 1, 8)
 
 
 def fingerprint(sigs: Column | str) -> Column:
     """The signature set as a string, 8 hex digits a signature in ascending order."""
-    sigs = F.col(sigs) if isinstance(sigs, str) else sigs
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(sigs, "")
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
@@ -126,7 +129,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", sigs: str = "sigs", thresh
     keyed = prefix.join(hot, "sig", "left")
     # the first two that a pair shares stand in both prefixes longer by one, so pairs of signatures are keys too
     two = F.transform(F.filter("more", lambda x: x != F.col("sig")), lambda x: F.struct(F.least(x, F.col("sig")).alias("x"), F.greatest(x, F.col("sig")).alias("y")))
-    one = F.array(F.struct(F.col("sig").alias("x"), F.lit(-1).cast("long").alias("y")))
+    one = F.array(F.struct(F.col("sig").alias("x"), F.col("sig").alias("y")))
     keyed = keyed.select("class_id", "n", "part", F.explode(F.when(F.col("hot"), two).otherwise(one)).alias("key"))
     left = keyed.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), "key", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     right = keyed.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), "key", "part")
@@ -183,3 +186,26 @@ def compare_edited(docs: DataFrame, chain: int = CHAIN, threshold: float = THRES
         likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
         partition_of("own", threshold).alias("set_partition"), near("own", "other", threshold).alias("edited_is_near"), near("own", "next", threshold).alias("next_is_near"),
     )
+
+
+_QUOTED = ", ".join(f"'{w}'" for w in ANCHORS)
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after
+      FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT *, substr(text, 1, n - n // 4) || substr(after, 1, n // 4) AS edited FROM n),
+t AS (SELECT doc_id, 'own' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+k AS (SELECT doc_id, kind, string_split_regex(replace(translate(lower(text), chr(10) || '|.!?;:', repeat(chr(1), {len(BORDERS)})), chr(1), ' ' || chr(1) || ' '), '[^\\p{{L}}\\p{{N}}\\x01]+') AS k FROM t),
+u AS (SELECT doc_id, kind, unnest(k) AS w, generate_subscripts(k, 1) AS i FROM k),
+a AS (SELECT *, w IN ('', chr(1), {_QUOTED}) AS anchor FROM u),
+s AS (SELECT *, coalesce(lag(anchor) OVER (PARTITION BY doc_id, kind ORDER BY i), true) AS spot FROM a),
+c AS (SELECT *, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3 FROM s WHERE NOT anchor WINDOW v AS (PARTITION BY doc_id, kind ORDER BY i)),
+g AS (SELECT doc_id, kind, list_sort(list(DISTINCT substr(md5(concat_ws(' ', w, w2, w3)), 1, 8))) AS g FROM c WHERE spot GROUP BY doc_id, kind),
+f AS (SELECT t.doc_id, t.kind, coalesce(g.g, [substr(md5(t.text), 1, 8)]) AS g FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.kind = g.kind),
+j AS (SELECT e.doc_id, e.n, e.edited, o.g AS own, x.g AS other, len(list_intersect(o.g, x.g)) AS bx, len(o.g) + len(x.g) AS sx, len(list_intersect(o.g, y.g)) AS bn, len(o.g) + len(y.g) AS sn
+      FROM e JOIN f o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN f x ON x.doc_id = e.doc_id AND x.kind = 'edited' JOIN f y ON y.doc_id = e.next_id AND y.kind = 'own')
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+       bx::DOUBLE / (sx - bx) AS near_edited, bn::DOUBLE / (sn - bn) AS near_next, floor(ln(len(own)) / {math.log(1 / THRESHOLD)!r} + 1e-9)::INT AS set_partition,
+       bx::DOUBLE / (sx - bx) >= {THRESHOLD} - 1e-12 AS edited_is_near, bn::DOUBLE / (sn - bn) >= {THRESHOLD} - 1e-12 AS next_is_near
+FROM j
+"""
