@@ -38,7 +38,7 @@ CAPACITY = 2048
 #: Fillings looked at for each count of sequences, beyond four a length.
 EFFORT = 10_000
 #: Shares in which the pieces of one length are ranked, whatever the cluster's size.
-SHARES = 256
+SHARES = 64
 #: Open choices that are kept; an older one is enumerated anew when the search comes back to it.
 KEPT = 128
 
