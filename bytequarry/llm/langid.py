@@ -34,7 +34,7 @@ GRAM = 4
 SLOTS = 1 << 20
 PROBES = 2
 #: Characters handled at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Share of a document's n-grams that its language must have for `keep` to take it.
 LEAST_SCORE = 0.25
 
@@ -106,7 +106,10 @@ class Model:
         for start, chunk in _chunks(batch_texts):
             h, owner, with_letters = grams(chunk, self.gram)
             slots = _slots(h, self.masks.shape[1], self.probes)
-            found = [np.bitwise_and.reduce([word[at] for at in slots]) for word in self.masks]
+            found = [word[slots[0]] for word in self.masks]
+            for at in slots[1:]:
+                for mask, word in zip(found, self.masks, strict=True):
+                    mask &= word[at]
             total = np.bincount(owner, minlength=len(chunk))
             hits = np.stack([np.bincount(owner[(found[b // 64] >> np.uint64(b % 64) & np.uint64(1)).astype(bool)], minlength=len(chunk)) for b in range(len(self.languages))])
             share = np.clip((hits / np.maximum(total, 1) - rates[:, None]) / (1 - rates[:, None]), 0, 1)
