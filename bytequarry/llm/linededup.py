@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import map_batches, open_file, partitions, put_file, raw_texts, remove_folder, scratch, unused, written
+from bytequarry.llm.common import open_file, partitions, put_file, raw_texts, remove_folder, scratch, unused, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Settled hashes that are broadcast at most (16 bytes each): all, or the ones that most documents hold; others are joined.
@@ -35,6 +35,8 @@ BROADCAST_LIMIT = 500_000
 #: Rows of a range, of 24 bytes each, that a task holds at once: there are as many ranges as that takes.
 RANGE_ROWS = 1 << 21
 BATCHES, FAN = 4, 2
+#: Keys that a task counts before it gives their rows.
+HELD = 200_000
 
 Run = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -49,17 +51,25 @@ def _digest(key: bytes) -> bytes:
 
 
 def hashes(docs: DataFrame, least_chars: int = 1, text: str = "text") -> DataFrame:
-    """hi and lo of the hash of each distinct key of each document, and docs: how many documents of a batch hold it."""
+    """hi and lo of the hash of each distinct key of each document, and docs: how many documents hold it, added up within a task by HELD keys at a time."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found: Counter = Counter()
-        for doc in raw_texts(batch, text):
-            keys = {key_of(line) for line in doc.split(b"\n")}
-            found.update(_digest(k) for k in keys if len(k) >= least_chars and (least_chars <= 1 or len(k.decode()) >= least_chars))
+    def rows(found: Counter) -> pa.RecordBatch:
         both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.fromiter(found.values(), np.int64, len(found)))], ["hi", "lo", "docs"])
 
-    return map_batches(docs.select(F.col(text).cast("string").alias(text)), run, "hi long, lo long, docs long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for doc in raw_texts(batch, text):
+                keys = {key_of(line) for line in doc.split(b"\n")}
+                found.update(_digest(k) for k in keys if len(k) >= least_chars and (least_chars <= 1 or len(k.decode()) >= least_chars))
+                if len(found) >= HELD:
+                    yield rows(found)
+                    found.clear()
+        if found:
+            yield rows(found)
+
+    return docs.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "hi long, lo long, docs long")
 
 
 def merge(runs: list[Run]) -> Run:
