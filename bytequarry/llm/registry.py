@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import bpe, langid, langid_sql, linededup, media, packing, planes, simhash, simhash_sql, spotsigs, toxicity, urlcascade
+from bytequarry.llm import bpe, bpe_sql, langid, langid_sql, linededup, media, packing, planes, simhash, simhash_sql, spotsigs, toxicity, urlcascade
 from bytequarry.llm.common import bounded_batches
 from bytequarry.llm.common import table as read
 
@@ -62,4 +62,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spotsigs": spotsigs.ORACLE, "op2_url_cascade": urlcascade.ORACLE, "op3_language": langid_sql.oracle(), "op5_line_dedup": linededup.ORACLE, "op8_simhash": simhash_sql.oracle()}
+    return {
+        "op1_spotsigs": spotsigs.ORACLE, "op2_url_cascade": urlcascade.ORACLE, "op3_language": langid_sql.oracle(), "op4_planes": bpe_sql.shards(),
+        "op5_line_dedup": linededup.ORACLE, "op7_bpe": bpe_sql.round_trip(), "op8_simhash": simhash_sql.oracle(),
+    }
