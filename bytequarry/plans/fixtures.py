@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +82,14 @@ def entry_content(doc_id: int, text: str, mixed: bool) -> bytes:
     return data
 
 
+def archive_path() -> Column:
+    """The archive that a document is in."""
+    return F.format_string("%s-%06d.arc", F.col("source"), F.floor(F.col("doc_id") / PER_ARCHIVE))
+
+
 def archives(docs: DataFrame, mixed: bool = False) -> DataFrame:
     """arc_path, content: archives of up to 64 documents of a source, in doc_id order."""
-    rows = docs.select(F.format_string("%s-%06d.arc", F.col("source"), F.floor(F.col("doc_id") / PER_ARCHIVE)).alias("arc_path"), F.struct("doc_id", "text").alias("d"))
+    rows = docs.select(archive_path().alias("arc_path"), F.struct("doc_id", "text").alias("d"))
     # so many partitions as named: what an archive costs is not in its bytes
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "arc_path").groupBy("arc_path").agg(F.array_sort(F.collect_list("d")).alias("docs"))
@@ -125,8 +131,10 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("samples"))
 
 
-def tree_codes(tree: image.WeightTree) -> dict[int, str]:
+@lru_cache
+def tree_codes(weights: tuple[int, ...]) -> dict[int, str]:
     """The bits of each symbol of a version 2 code."""
+    tree = image.WeightTree(list(weights))
     out, open_ = {}, [(tree.root, "")]
     while open_:
         node, bits = open_.pop()
@@ -139,8 +147,8 @@ def tree_codes(tree: image.WeightTree) -> dict[int, str]:
 
 def write_image_2(width: int, strips: list[list[dict[int, int]]], quantisers: bytes, alpha: bytes = b"") -> bytes:
     """A version 2 image of whole strips of 8 rows; a block is {place in zigzag order: value}, all of luma first, then both chromas."""
-    weights = [1] * 16, [1] * 176
-    first, later = (tree_codes(image.WeightTree(w)) for w in weights)
+    weights = (1,) * 16, (1,) * 176
+    first, later = map(tree_codes, weights)
     bits_of = lambda v: (abs(v).bit_length(), "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}")
     whole = lambda text: int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big") if text else b""
     bodies = []
