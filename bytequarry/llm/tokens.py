@@ -56,7 +56,8 @@ class Encoder(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        # of plain ASCII, which is soon told, only what may be a special token is unusual
+        if "<|" in text if text.isascii() else UNUSUAL.search(text):
             return self.whole(text)
         if len(self) > CACHED:
             self.clear()
