@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import binary, codepage, dsc, image, png, registered
+from bytequarry.functions import binary, codepage, dsc_many, image, png, registered
 from bytequarry.operators import archive, classify, script
 from bytequarry.plans import fixtures, tools, unpack
 from bytequarry.sources import projects
@@ -326,10 +326,9 @@ def _through_dsc(text: str) -> Column:
 
     @F.pandas_udf("size long, sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            packed = dsc.encode(t.encode()) if t else None
-            rows.append((len(packed), hashlib.sha256(dsc.decode(packed)).hexdigest()) if t else (None, None))
+        packed = dsc_many.encode([t.encode() for t in texts if t])
+        done = iter([(len(p), hashlib.sha256(text).hexdigest()) for p, text in zip(packed, dsc_many.decode(packed), strict=True)])
+        rows = [next(done) if t else (None, None) for t in texts]
         return pd.DataFrame({"size": pd.Series([r[0] for r in rows], dtype="Int64"), "sha256": pd.Series([r[1] for r in rows], dtype=object)})
 
     return run(text)
