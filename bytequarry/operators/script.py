@@ -14,17 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import codepage, dsc
+from bytequarry.functions import codepage, dsc, dsc_many
 from bytequarry.functions.binary import FILE_ERRORS
 from bytequarry.functions.formats import CODE_END, COMMENT, DISTANCE, FILE_OPCODE, FUNCTION, RANK, SCRIPT_MAGIC, STRING_OPCODE
 
 KIND_ORDER = ("name", "text", "ruby_kanji", "ruby_furigana", "backlog")
 
 
-def layout(content: bytes) -> tuple[str, str, bytes, bytes, bytes]:
-    """(container, version, header, code, text) of a script."""
+def layout(content: bytes, plain: bytes | None = None) -> tuple[str, str, bytes, bytes, bytes]:
+    """(container, version, header, code, text) of a script; plain: what a compressed one unpacks to, where it is known."""
     container = "dsc" if dsc.is_packed(content) else "compiled"
-    data = dsc.decode(content) if container == "dsc" else content
+    data = content if container != "dsc" else dsc.decode(content) if plain is None else plain
     version, head = "0.00", 0
     if data[: len(SCRIPT_MAGIC)] == SCRIPT_MAGIC:
         version = "1.00"
@@ -73,6 +73,28 @@ def _table(scripts: DataFrame, rows_of: Callable[[bytes], list[tuple]], schema:
     return scripts.select("script", "content").mapInArrow(run, schema)
 
 
+def opened(scripts: DataFrame) -> DataFrame:
+    """script, content: compressed scripts unpacked; those that are not sound, or are compressed twice, stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("content").to_pylist()
+            packed = [i for i, data in enumerate(held) if data and dsc.is_packed(data)]
+            for i, text in zip(packed, dsc_many.sound([held[i] for i in packed]), strict=True):
+                if text is None:
+                    try:
+                        text = dsc.decode(held[i])
+                    except FILE_ERRORS:
+                        continue
+                if not dsc.is_packed(text):
+                    held[i] = text
+            yield pa.RecordBatch.from_arrays([batch.column("script"), pa.array(held, pa.binary())], ["script", "content"])
+
+    # words, slots and errors read the same exchange; so many partitions as named: what a script costs is not in its bytes
+    n = int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scripts.select("script", "content").mapInArrow(run, "script string, content binary").repartition(n, "script")
+
+
 def words(scripts: DataFrame) -> DataFrame:
     """script, version, code_len, word_no, value: the whole 32-bit words of each script's code; none of one that cannot be read."""
 
@@ -149,6 +171,7 @@ def merged(refs: DataFrame, page: int = 932) -> DataFrame:
 
 def entries(scripts: DataFrame, page: int = 932, fail_fast: bool = False) -> DataFrame:
     """merged(references()) of scripts, with error: a script that cannot be read is one row of its error and nulls; with fail_fast it fails the query."""
+    scripts = opened(scripts)
     found = merged(references(words(scripts), slots(scripts), page), page).withColumn("error", F.lit(None).cast("string"))
     bad = unreadable(scripts)
     error = F.raise_error(F.col("error")).cast("string") if fail_fast else F.col("error")
@@ -221,9 +244,9 @@ def apply_project(scripts: DataFrame, project_entries: DataFrame, page: int = 0)
     return scripts.select("script", "content").join(new, "script", "left").mapInArrow(run, "script string, patched binary, error string")
 
 
-def script_entries(content: bytes, page: int = 932) -> tuple[str, list[dict]]:
+def script_entries(content: bytes, page: int = 932, plain: bytes | None = None) -> tuple[str, list[dict]]:
     """(container, entries) of one script, the per-script form of `entries`."""
-    container, version, _, code, text = layout(content)
+    container, version, _, code, text = layout(content, plain)
     held = dict(split_slots(text))
     values = np.frombuffer(code, "<u4", len(code) // 4).tolist()
     get = lambda i: values[i] if 0 <= i < len(values) else None

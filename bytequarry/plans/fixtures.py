@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions import dsc, image
+from bytequarry.functions import dsc_many, image
 from bytequarry.functions.binary import encrypt, le_u32_bytes
 from bytequarry.functions.formats import ARCHIVE_ENTRY, ARCHIVE_MAGIC, ARCHIVE_NAME, AUDIO_MAGIC, CODE_END, FILE_OPCODE, FUNCTION, SCRIPT_MAGIC, STRING_OPCODE
 
 #: Entries of an archive, so that no archive grows with the table.
 PER_ARCHIVE = 64
+#: Archives that are made at once.
+AT_ONCE = 32
 SCRIPT_KINDS = ("name", "text", "ruby_kanji", "ruby_furigana", "backlog", "file", "other")
 #: Zero words before a script's first reference, so that no opcode can pass for one.
 LEAD_WORDS = 96
@@ -65,14 +67,23 @@ def text_image(data: bytes, width: int = 8) -> image.Image:
     return image.Image(width, len(padded) // (4 * width), image.has_alpha(padded), padded)
 
 
+def entry_contents(docs: list[dict], mixed: bool) -> list[bytes]:
+    """Documents (doc_id, text) as entries: as they are, or by turns one of six kinds of file."""
+    out = [entry_content(d["doc_id"], d["text"], mixed) for d in docs]
+    scripts = [i for i, d in enumerate(docs) if mixed and d["doc_id"] % 6 == 2]
+    for i, packed in zip(scripts, dsc_many.encode([out[i] for i in scripts]), strict=True):
+        out[i] = packed
+    return out
+
+
 def entry_content(doc_id: int, text: str, mixed: bool) -> bytes:
-    """A document as an entry: as it is, or by turns one of six kinds of file."""
+    """A document as an entry; the script is not compressed yet."""
     data = (text or "").encode()
     which = doc_id % 6 if mixed else 0
     if which == 1:
         return write_audio(data)
     if which == 2:
-        return dsc.encode(write_script("1.00", [data]))
+        return write_script("1.00", [data])
     if which == 3:
         return image.encode(text_image(data))
     if which == 4:
@@ -96,9 +107,13 @@ def archives(docs: DataFrame, mixed: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, held in zip(batch.column("arc_path").to_pylist(), batch.column("docs"), strict=True):
-                content = write_archive([(f"text\\doc_{d['doc_id']:08d}.bin", entry_content(d["doc_id"], d["text"], mixed)) for d in held.as_py()])
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["arc_path", "content"])
+            paths, held = batch.column("arc_path").to_pylist(), batch.column("docs")
+            for at in range(0, len(paths), AT_ONCE):
+                some = held[at : at + AT_ONCE].to_pylist()
+                content = iter(entry_contents([d for docs in some for d in docs], mixed))
+                for path, docs in zip(paths[at : at + AT_ONCE], some, strict=True):
+                    made = write_archive([(f"text\\doc_{d['doc_id']:08d}.bin", next(content)) for d in docs])
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([made], pa.binary())], ["arc_path", "content"])
 
     return rows.mapInArrow(run, "arc_path string, content binary")
 
@@ -111,17 +126,20 @@ def plain(text: str | None) -> str:
 
 def scripts(conversations: DataFrame, packed: bool = False) -> DataFrame:
     """script, version, content: a script a conversation, a text a turn (see plain); odd ones are version 1.00."""
+    if packed:
+        # so many partitions as named: packing costs far more than their bytes
+        conversations = conversations.repartition(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                version = "1.00" if conv % 2 else "0.00"
-                content = write_script(version, [plain(t["text"]).encode() for t in turns])
-                out.append((f"conv_{conv:06d}", version, dsc.encode(content) if packed else content))
+            convs, out = batch.column("conv_id").to_pylist(), []
+            versions = ["1.00" if conv % 2 else "0.00" for conv in convs]
+            for version, turns in zip(versions, batch.column("turns").to_pylist(), strict=True):
+                out.append(write_script(version, [plain(t["text"]).encode() for t in turns]))
+            columns = [f"conv_{conv:06d}" for conv in convs], versions, dsc_many.encode(out) if packed else out
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["script", "version", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], ["script", "version", "content"])
 
     return rows.select("conv_id", "turns").mapInArrow(run, "script string, version string, content binary")
 

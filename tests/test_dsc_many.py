@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from bytequarry.functions import dsc, dsc_many
+from bytequarry.operators import script
+from bytequarry.plans import fixtures
 
 WORDS = [w.encode() for w in "the a house of river stone walked under morning light and then over seven bridges quietly".split()]
 
@@ -83,3 +85,12 @@ def test_many_scripts_take_far_less_time_than_one_by_one():
         run()
         times.append(time.process_time() - began)
     assert times[1] < times[0] / 2
+
+
+def test_scripts_are_opened_once_and_others_stay(spark):
+    plain = fixtures.write_script("1.00", [b"one", b"two"])
+    packed = dsc.encode(plain)
+    held = {"plain": plain, "packed": packed, "cut": packed[:-1], "twice": dsc.encode(packed), "none": None}
+    rows = spark.createDataFrame([(k, v if v is None else bytearray(v)) for k, v in held.items()], "script string, content binary")
+    found = {r["script"]: r["content"] if r["content"] is None else bytes(r["content"]) for r in script.opened(rows).collect()}
+    assert found == held | {"packed": plain}
