@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions import image, png
+from bytequarry.functions import dsc_many, image, png
 from bytequarry.functions.binary import FILE_ERRORS
 from bytequarry.operators.archive import extract_entries, guard_path, list_entries
 from bytequarry.operators.classify import audio_payload, classify, output_name, unique_names
@@ -19,12 +19,12 @@ from bytequarry.operators.script import script_entries
 from bytequarry.sources.projects import script_text
 
 
-def convert(kind: str, path: str, data: bytes, page: int = 932) -> bytes | None:
-    """The converted bytes of an image or script."""
+def convert(kind: str, path: str, data: bytes, page: int = 932, plain: bytes | None = None) -> bytes | None:
+    """The converted bytes of an image or script; plain: the bytes of a compressed script, where they are known."""
     if kind == "image":
         return png.save(image.decode(data))
     if kind in ("dsc", "compiled"):
-        return script_text(path, *script_entries(data, page), page)
+        return script_text(path, *script_entries(data, page, plain), page)
     return None
 
 
@@ -43,11 +43,14 @@ def unpack(archives: DataFrame, page: int = 932, fail_fast: bool = False) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
-            for kind, path, data, wrong in zip(*(batch.column(c).to_pylist() for c in ("kind", "path", "content", "read_error")), strict=True):
+            held = [batch.column(c).to_pylist() for c in ("kind", "path", "content", "read_error")]
+            packed = [i for i, (kind, error) in enumerate(zip(held[0], held[3], strict=True)) if kind == "dsc" and error is None]
+            ready = dict(zip(packed, dsc_many.sound([held[2][i] for i in packed]), strict=True))
+            for i, (kind, path, data, wrong) in enumerate(zip(*held, strict=True)):
                 value, error = None, wrong
                 if error is None:
                     try:
-                        value = convert(kind, path, data, page)
+                        value = convert(kind, path, data, page, ready.pop(i, None))
                     except FILE_ERRORS as e:
                         if fail_fast:
                             raise
