@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,6 +111,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker gives the memory that it no longer holds back to the system.
+
+    Workers stay for later tasks, those of other stages too, and what the allocators keep of a task's largest batches
+    would add up beside the JVM's heap.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def trim() -> None:
+    """Give free memory back to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # glibc has it; other C libraries go without
+    if (free := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        free(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over every Arrow batch; a batch may give None."""
 
@@ -117,7 +144,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(given_back(run), schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

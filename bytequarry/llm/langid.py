@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import texts, unused
+from bytequarry.llm.common import given_back, texts, unused
 
 #: Expected labelled rows a language to learn from.
 FIT_ROWS = 3000
@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, slots: int = SLOTS, probe
                     key, n = np.unique(h[lang == b], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), b)), pa.array(n.astype(np.int64))], ["h", "b", "n"])
 
-    counts = labelled.where(wanted).mapInArrow(run, "h long, b long, n long").groupBy("h", "b").agg(F.sum("n").alias("n"))
+    counts = labelled.where(wanted).mapInArrow(given_back(run), "h long, b long, n long").groupBy("h", "b").agg(F.sum("n").alias("n"))
     held = counts.where(F.col("n") >= least_docs).groupBy("h", F.floor(F.col("b") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, names:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{names[0]}` string, `{names[1]}` double"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(given_back(run), schema)
 
 
 def held_out(modulus: int = 4, remainder: int = 2) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import open_file, partitions, put_file, raw_texts, remove_folder, scratch, unused, written
+from bytequarry.llm.common import given_back, open_file, partitions, put_file, raw_texts, remove_folder, scratch, unused, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Settled hashes that are broadcast at most (16 bytes each): all, or the ones that most documents hold; others are joined.
@@ -69,7 +69,7 @@ def hashes(docs: DataFrame, least_chars: int = 1, text: str = "text") -> DataFra
         if found:
             yield rows(found)
 
-    return docs.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "hi long, lo long, docs long")
+    return docs.select(F.col(text).cast("string").alias(text)).mapInArrow(given_back(run), "hi long, lo long, docs long")
 
 
 def merge(runs: list[Run]) -> Run:
@@ -145,7 +145,7 @@ class LineStore:
         # a row of no documents in each range, so that every range has its task
         every = self.spark.range(count).select(F.col("id").cast("int").alias("range"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit(0).cast("long").alias("docs"))
         rows = lines.select(self._range().alias("range"), "hi", "lo", "docs").unionByName(every)
-        self.plan = rows.repartitionById(count, F.col("range")).sortWithinPartitions("range", "hi", "lo").mapInArrow(task, "range int")
+        self.plan = rows.repartitionById(count, F.col("range")).sortWithinPartitions("range", "hi", "lo").mapInArrow(given_back(task), "range int")
         # a number a range comes to the driver
         if self.plan.toArrow().num_rows != count:
             raise RuntimeError("a range without a task")
@@ -171,7 +171,7 @@ class LineStore:
 
         if known is None:
             return self.spark.createDataFrame([], "hi long, lo long, docs long")
-        return self.spark.range(0, 1 << self.bits, 1, 1 << self.bits).mapInArrow(task, "hi long, lo long, docs long")
+        return self.spark.range(0, 1 << self.bits, 1, 1 << self.bits).mapInArrow(given_back(task), "hi long, lo long, docs long")
 
 
 NO_ROWS: Run = tuple(np.zeros(0, np.int64) for _ in range(3))
@@ -233,7 +233,7 @@ def _cut(docs: DataFrame, shared, own: str | None, text: str, names: list[str] |
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", `{names[0]}` long, `{names[1]}` long"
     else:
         schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(given_back(run), schema)
 
 
 def settle(docs: DataFrame, min_docs: int = 10, least_chars: int = 1, batches: int = BATCHES, text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -283,7 +283,7 @@ def drop(docs: DataFrame, settled: DataFrame, text: str = "text", full: bool = F
             both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], [row, "hi", "lo"])
 
-    hits = rows.select(row, text).mapInArrow(keyed, f"`{row}` long, hi long, lo long").join(settled.select("hi", "lo"), ["hi", "lo"], "left_semi")
+    hits = rows.select(row, text).mapInArrow(given_back(keyed), f"`{row}` long, hi long, lo long").join(settled.select("hi", "lo"), ["hi", "lo"], "left_semi")
     hits = hits.groupBy(row).agg(F.collect_list(F.struct("hi", "lo")).alias(own))
     return _cut(rows.join(hits, row, "left").drop(row), shared, own, text, names)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import texts, written
+from bytequarry.llm.common import given_back, texts, written
 from bytequarry.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
@@ -280,7 +280,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", words: bool =
                 yield pa.RecordBatch.from_arrays(arrays[: 5 + keep_ids], names[: 5 + keep_ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(given_back(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", words: bool = False, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False, effort: int = EFFORT) -> DataFrame:
@@ -329,4 +329,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", words: bool = Fa
             )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "share")
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long, packed_by string")
+    return ranked.mapInArrow(given_back(run), f"{kinds}, sequence_id long, offset long, packed_by string")

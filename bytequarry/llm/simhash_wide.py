@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import map_batches, partitions, raw_texts, written
+from bytequarry.llm.common import given_back, map_batches, partitions, raw_texts, written
 from bytequarry.llm.simhash import Forest, components, is_kept, keyed, least_row, one_of_each
 
 SEED = 42
@@ -427,7 +427,7 @@ def _linked(docs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, ra
             held = pa.Table.from_batches(waiting)
             yield solved(held, starts(held))
 
-    return rows.mapInArrow(run, "a binary, b binary, key long")
+    return rows.mapInArrow(given_back(run), "a binary, b binary, key long")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, largest: int = LARGEST) -> DataFrame:

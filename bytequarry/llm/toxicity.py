@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import texts, unused
+from bytequarry.llm.common import given_back, texts, unused
 
 #: Expected labelled rows to learn from.
 FIT_ROWS = 12_000
@@ -194,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, **learning
             [pa.array([-1 if model.learned else -2, *model.keys.astype(np.int64).tolist()], pa.int64()), pa.array([model.bias, *model.weights.tolist()], pa.float64())], ["key", "weight"]
         )
 
-    featured = sample.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, f binary")
+    featured = sample.select("doc_id", "text", "toxic").mapInArrow(given_back(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, f binary")
     # the sample's bound is what lets one task hold it
-    table = featured.repartition(1).mapInArrow(train, "key long, weight double").toPandas().sort_values("key")
+    table = featured.repartition(1).mapInArrow(given_back(train), "key long, weight double").toPandas().sort_values("key")
     if not len(table) or table["key"].iloc[0] == -2:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, False)
     return Model(table["key"].to_numpy()[1:].astype(np.uint32), table["weight"].to_numpy()[1:], float(table["weight"].iloc[0]))
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shared.value.score(texts(batch)))], [*keep, name])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(given_back(run), schema)
 
 
 def held_out(modulus: int = 5, remainder: int = 0) -> Column:
