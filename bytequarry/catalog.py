@@ -73,7 +73,8 @@ def archive_summary(table):
     # the archives of a run are scanned for their paths alone, which the fixture gives without their content
     names = table("documents").select(fixtures.archive_path().alias("arc_path")).distinct()
     odd = names.sparkSession.createDataFrame([("empty.arc",), ("bad.arc",)], "arc_path string")
-    return unpack.summary(unpack.unpack(_archives_and_odd(table, mixed=True)), names.unionByName(odd))
+    names = names.unionByName(odd)
+    return unpack.summary(unpack.unpack(_archives_and_odd(table, mixed=True), paths=names), names)
 
 
 def _archives_and_odd(table, mixed=False):

@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions import dsc_many, image, png
+from bytequarry.functions import dsc_many, image, jvm, png
 from bytequarry.functions.binary import FILE_ERRORS
 from bytequarry.operators.archive import extract_entries, guard_path, list_entries
 from bytequarry.operators.classify import audio_payload, classify, output_name, unique_names
@@ -20,32 +20,37 @@ from bytequarry.sources.projects import script_text
 
 
 def convert(kind: str, path: str, data: bytes, page: int = 932, plain: bytes | None = None) -> bytes | None:
-    """The converted bytes of an image or script; plain: the bytes of a compressed script, where they are known."""
+    """The converted bytes of an image or script; plain: the bytes of a compressed script or the pixels of an image, where they are known."""
     if kind == "image":
-        return png.save(image.decode(data))
+        return png.save(image.decode(data) if plain is None else image.of_pixels(data, plain))
     if kind in ("dsc", "compiled"):
         return script_text(path, *script_entries(data, page, plain), page)
     return None
 
 
-def unpack(archives: DataFrame, page: int = 932, fail_fast: bool = False) -> DataFrame:
+def unpack(archives: DataFrame, page: int = 932, fail_fast: bool = False, paths: DataFrame | None = None) -> DataFrame:
     """arc_path, output_dir, entry_index, path, kind, label, status, output_path, output, retained, error of every entry.
 
     archives: arc_path, content. status: converted, skipped (nothing to convert) or error. Work is dealt
-    out by entry. Only images lose their source once converted.
+    out by entry. Only images lose their source once converted. paths: the archives' arc_path, where they are known
+    without making or reading the content.
     """
-    names = unique_names(archives.select(F.col("arc_path").alias("path")).distinct()).withColumnRenamed("path", "arc_path")
+    names = unique_names((archives if paths is None else paths).select(F.col("arc_path").alias("path")).distinct()).withColumnRenamed("path", "arc_path")
     # an entry's conversion costs far more than its bytes: deal entries to all partitions, uncoalesced
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classify(extract_entries(archives, page, fail_fast).repartition(n, "arc_path", "entry_index"))
     rows = rows.withColumn("audio", audio_payload("content")).withColumn("read_error", F.col("error"))
+    ready = jvm.column(archives.sparkSession, F.when(F.col("kind").isin("dsc", "image") & F.col("error").isNull(), F.col("kind")), "content")
+    rows = rows.withColumn("ready", F.lit(None).cast("binary") if ready is None else ready)
+    rows = rows.withColumn("content", F.when(F.col("kind").isin("image", "dsc", "compiled"), F.col("content")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, errors = [], []
             held = [batch.column(c).to_pylist() for c in ("kind", "path", "content", "read_error")]
-            packed = [i for i, (kind, error) in enumerate(zip(held[0], held[3], strict=True)) if kind == "dsc" and error is None]
-            ready = dict(zip(packed, dsc_many.sound([held[2][i] for i in packed]), strict=True))
+            ready = {i: made for i, made in enumerate(batch.column("ready").to_pylist()) if made is not None}
+            packed = [i for i, (kind, error) in enumerate(zip(held[0], held[3], strict=True)) if kind == "dsc" and error is None and i not in ready]
+            ready |= zip(packed, dsc_many.sound([held[2][i] for i in packed]), strict=True)
             for i, (kind, path, data, wrong) in enumerate(zip(*held, strict=True)):
                 value, error = None, wrong
                 if error is None:
@@ -65,7 +70,7 @@ def unpack(archives: DataFrame, page: int = 932, fail_fast: bool = False) -> Dat
                     out[i], errors[i] = payload[i], wrong[i]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary()), pa.array(errors, pa.string())], [*keep, "output", "error"])
 
-    done = rows.select("arc_path", "entry_index", "path", "kind", "label", "content", "audio", "read_error").mapInArrow(
+    done = rows.select("arc_path", "entry_index", "path", "kind", "label", "content", "ready", "audio", "read_error").mapInArrow(
         run, "arc_path string, entry_index int, path string, kind string, label string, output binary, error string"
     )
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("output").isNotNull(), "converted").otherwise("skipped")
