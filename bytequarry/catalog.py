@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import binary, codepage, dsc_many, image, png, registered
+from bytequarry.functions import binary, codepage, dsc_many, image, jvm, png, registered
 from bytequarry.operators import archive, classify, script
 from bytequarry.plans import fixtures, tools, unpack
 from bytequarry.sources import projects
@@ -322,8 +322,17 @@ def patched_references(table):
     return rows.where((F.col("word_no") >= 96) & (F.pmod(F.col("word_no") - 96, first) == 2)).where("value >= code_len").select("script", (F.col("word_no").cast("long") * 4).alias("pos"), "value")
 
 
-def _through_dsc(text: str) -> Column:
-    """size and sha256 of what comes back; null for an empty text, which the format cannot hold."""
+def _through_dsc(docs: DataFrame) -> DataFrame:
+    """The rows with d: size of their text when compressed and sha256 of what comes back; null for an empty text, which the format cannot hold."""
+    packed = jvm.column(docs.sparkSession, "pack", F.when(F.col("text") != "", F.col("text").cast("binary")))
+    if packed is None:
+        return docs.withColumn("d", _through_python("text"))
+    back = F.sha2(jvm.column(docs.sparkSession, "dsc", "packed"), 256)
+    return docs.withColumn("packed", packed).withColumn("d", F.struct(F.octet_length("packed").cast("long").alias("size"), back.alias("sha256"))).drop("packed")
+
+
+def _through_python(text: str) -> Column:
+    """_through_dsc's d in a session without the JVM's codecs."""
 
     @F.pandas_udf("size long, sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -342,14 +351,15 @@ def _spread(docs: DataFrame) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN text <> '' THEN sha256(text) END AS sha256 FROM documents")
 def dsc_roundtrip(table):
-    return _spread(table("documents").select("doc_id", "text")).select("doc_id", _through_dsc("text").alias("d")).select("doc_id", "d.sha256")
+    return _through_dsc(_spread(table("documents").select("doc_id", "text"))).select("doc_id", "d.sha256")
 
 
 @query("SELECT lang, count(*) AS docs, sum(strlen(coalesce(text, '')))::BIGINT AS plain, true AS smaller FROM documents GROUP BY lang")
 def dsc_ratio(table):
-    """Whether all of a language's documents take less room compressed (each with its own table of 512 bytes)."""
-    rows = _spread(table("documents").select("lang", "text")).select("lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("plain"), _through_dsc("text").alias("d"))
-    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("plain").alias("plain"), (F.sum("d.size") < F.sum("plain")).alias("smaller"))
+    """Whether all of a language's documents take less room compressed (each with its own table of 512 bytes), and come back."""
+    whole = F.coalesce(F.col("d.sha256") == F.sha2(F.col("text").cast("binary"), 256), F.coalesce("text", F.lit("")) == "")
+    rows = _through_dsc(_spread(table("documents").select("lang", "text"))).select("lang", F.coalesce(F.octet_length("text"), F.lit(0)).alias("plain"), "d.size", whole.alias("whole"))
+    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("plain").alias("plain"), ((F.sum("size") < F.sum("plain")) & F.bool_and("whole")).alias("smaller"))
 
 
 @query(f"""WITH {TURNS} SELECT script, "index", kind, original_text FROM e""")

@@ -102,3 +102,16 @@ def test_paths_that_are_known_spare_a_second_making_of_the_archives(documents):
     # archives, their entries and what becomes of them
     assert plans[0] > plans[1] == 3
     assert unpack.unpack(archives, paths=paths).exceptAll(unpack.unpack(archives)).count() == 0
+
+
+def test_ratio_compresses_every_text_in_the_jvm(spark, tmp_path, monkeypatch):
+    from bytequarry import catalog
+
+    rows = [("en", "word " * 900), ("en", ""), ("de", "xyz"), (None, None), (None, "again and again " * 99)]
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.queries()["dsc_ratio"](spark, str(tmp_path))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = {("en", 2, 4500, True), ("de", 1, 3, False), (None, 2, 1584, True)}
+    assert set(map(tuple, found.collect())) == expected
+    monkeypatch.setattr(jvm, "_codec", lambda spark: None)
+    assert set(map(tuple, catalog.queries()["dsc_ratio"](spark, str(tmp_path)).collect())) == expected
